@@ -6,12 +6,67 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, packing, token_files, warc
+from varve.llm import chat, packing, quality, token_files, warc
 from varve.llm._shared import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), quality.Limits())
+    return judged.drop("char_distance", "word_distance")
+
+
+def _op2_sql(at: quality.Limits) -> str:
+    classes = ["[a-z]+", r"[ \t-\r]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", r"[\x21-\x7e]+"]
+    left, chain = "text", ["length(text)"]
+    for pattern in classes:
+        left = f"regexp_replace({left}, '{pattern}', '', 'g')"
+        chain.append(f"length({left})")
+    counts = ", ".join([f"{a} - {b}" for a, b in zip(chain, chain[1:])] + [chain[-1]])
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+d AS (SELECT r, doc_id, text, lang, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') AS words, [{counts}] AS classes FROM docs),
+one AS (SELECT r, lang, unnest(words) AS word FROM d),
+langs AS (SELECT lang, sum(len(words)) AS total, sum(classes[1]) AS c1, sum(classes[2]) AS c2, sum(classes[3]) AS c3, sum(classes[4]) AS c4,
+  sum(classes[5]) AS c5, sum(classes[6]) AS c6, sum(classes[7]) AS c7 FROM d GROUP BY lang),
+totals AS (SELECT lang, total, [c1, c2, c3, c4, c5, c6, c7] AS classes FROM langs
+  UNION ALL SELECT NULL, sum(total), [sum(c1), sum(c2), sum(c3), sum(c4), sum(c5), sum(c6), sum(c7)] FROM langs),
+counted AS (SELECT lang, word, count(*) AS n FROM one WHERE length(word) <= {at.common_word_chars} AND regexp_full_match(word, '\p{{L}}+') GROUP BY lang, word),
+every AS (SELECT * FROM counted UNION ALL SELECT NULL, word, sum(n) FROM counted GROUP BY word),
+top AS (SELECT lang, word, n FROM every QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {at.common_words}),
+keys AS (SELECT lang, CASE WHEN total >= {at.reference_words} THEN lang END AS key FROM langs),
+hits AS (
+  SELECT d.r, t.n AS q, (SELECT count(*) FROM (SELECT unnest(d.words) AS w) WHERE w = t.word) AS p
+  FROM d JOIN keys k ON d.lang = k.lang JOIN top t ON t.lang IS NOT DISTINCT FROM k.key),
+bins AS (
+  SELECT r, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q FROM hits
+  UNION ALL SELECT d.r, len(d.words) - coalesce(sum(h.p), 0), any_value(t.total) - coalesce(sum(h.q), 0)
+    FROM d JOIN keys k ON d.lang = k.lang JOIN totals t ON t.lang IS NOT DISTINCT FROM k.key LEFT JOIN hits h ON h.r = d.r GROUP BY d.r, d.words),
+shares AS (SELECT r, p / nullif(sum(p) OVER (PARTITION BY r), 0) AS p, q / sum(q) OVER (PARTITION BY r) AS q FROM bins),
+word_far AS (SELECT r, sqrt(greatest(sum({term('p', 'q')} + {term('q', 'p')}) / 2, 0)) AS dist FROM shares GROUP BY r),
+class_bins AS (
+  SELECT d.r, unnest(d.classes) / nullif(length(d.text), 0)::DOUBLE AS p, unnest(t.classes) / list_sum(t.classes)::DOUBLE AS q
+  FROM d JOIN keys k ON d.lang = k.lang JOIN totals t ON t.lang IS NOT DISTINCT FROM k.key),
+class_far AS (SELECT r, sqrt(greatest(sum({term('p', 'q')} + {term('q', 'p')}) / 2, 0)) AS dist FROM class_bins GROUP BY r),
+windows AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM d)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+repeats AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range(8) x(j) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (
+  SELECT d.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, length(text) AS chars, CAST(length(text) - classes[2] AS BIGINT) AS word_chars,
+    CAST(classes[5] AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines l USING (r) LEFT JOIN repeats p USING (r)),
+failing AS (SELECT *, n_words < {at.min_words} OR 100 * n_repeat_words > {at.max_repeat_percent} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {at.min_words} AND chars >= {at.min_chars} AND (
+    coalesce(c.dist > {at.char_distance} + {at.char_chance} / sqrt(chars), false) OR coalesce(w.dist > {at.word_distance} + {at.word_chance} / sqrt(n_words), false))) AS kept
+FROM failing f LEFT JOIN class_far c USING (r) LEFT JOIN word_far w USING (r)
+"""
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -59,6 +114,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
@@ -66,5 +122,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": _op2_sql(quality.Limits()),
     "op4_chat_formatting": OP4_SQL,
 }

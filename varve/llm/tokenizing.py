@@ -19,7 +19,7 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS = 800_000
+MAX_CHUNKS = 1_400_000
 #: Longer chunks are rare and not worth remembering.
 MAX_CHUNK_CHARS = 40
 #: A space or line feed which is not followed by a character that surely is visible, or a text that begins with one.
@@ -28,6 +28,17 @@ _UNSAFE = re.compile(r"[ \n](?![!-~À-ɏ])|^\n")
 _loaded: dict[str, Encoder] = {}
 
 
+class _Known(dict):
+    """Chunks and their ids; notes the chunks asked for that it lacks, in order."""
+
+    def __init__(self, always: dict[str, bytes]):
+        super().__init__(always)
+        self.missed: list[str] = []
+
+    def __missing__(self, chunk: str) -> None:
+        self.missed.append(chunk)
+
+
 class Encoder:
     """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers."""
 
@@ -41,7 +52,7 @@ class Encoder:
         self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("Ġ")]] = True
         *self.marks, line_feed = self._batch([",", ".", "\n"])
         self.always = {"\n": line_feed, "": b""}
-        self.known = dict(self.always)
+        self.known = _Known(self.always)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,7 +80,7 @@ class Encoder:
         """Remember the ids of new chunks; those of overlong chunks are returned instead."""
         known, overlong = self.known, {}
         marked = [x for x in chunks if x[-1] in ",." and x[-2:-1].isalpha()]
-        plain = (chunks.difference(marked) | {x[:-1] for x in marked}).difference(known)
+        plain = {x for x in chunks.difference(marked) | {x[:-1] for x in marked} if x not in known}
         for heads in (False, True):
             new = [x for x in plain if (x[:1] != " ") == heads]
             for at in range(0, len(new), 4096):
@@ -85,24 +96,31 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null or empty text has none."""
         if len(self.known) > MAX_CHUNKS:
-            self.known = dict(self.always)
+            self.known = _Known(self.always)
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
         whole: list[int] = []
+        cut: list[tuple[int, list[bytes | None]]] = []
+        known = self.known
+        known.missed = []
         for k, text in enumerate(texts):
             if not text:
                 continue
             if "\0" in text or _UNSAFE.search(text):
                 whole.append(k)
-                continue
-            chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            new.update(chunks)
-            cut.append((k, chunks))
+            else:
+                chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                cut.append((k, list(map(known.__getitem__, chunks))))
         for k, ids in zip(whole, self._batch([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        new.difference_update(self.known)
-        overlong, known = self._learn(new), self.known
-        for k, chunks in cut:
-            out[k] = b"".join([known[x] for x in chunks] if not overlong else [known[x] if x in known else overlong[x] for x in chunks])
+        missed = known.missed
+        overlong = self._learn(set(missed)) if missed else {}
+        at = 0
+        for k, found in cut:
+            place = -1
+            for _ in range(found.count(None)):
+                place = found.index(None, place + 1)
+                chunk = missed[at]
+                found[place] = overlong[chunk] if chunk in overlong else known[chunk]
+                at += 1
+            out[k] = b"".join(found)
         return out
