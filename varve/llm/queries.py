@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, html_text, packing, quality, token_files, toxicity, warc
+from varve.llm import chat, html_text, packing, quality, simhash, token_files, toxicity, warc
 from varve.llm._shared import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,6 +105,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"), distance=4, shingle=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.convert_pages(table(spark, sf_dir, "pages"), min_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -127,6 +132,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_simhash": op5_simhash,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
