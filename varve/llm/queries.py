@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, html_text, packing, quality, simhash, token_files, toxicity, warc
+from varve.llm import chat, decontaminate, html_text, packing, quality, simhash, token_files, toxicity, warc
 from varve.llm._shared import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -110,6 +110,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+OP7_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (SELECT row_number() OVER () AS q, CAST(item_id AS VARCHAR) AS item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT r, i, n, array_to_string(words[i:i + n - 1], ' ') AS w
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, sizes WHERE len(words) >= n)),
+found AS (SELECT g.r, g.i, g.n, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.w = w.w),
+hits AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS j FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(words), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.convert_pages(table(spark, sf_dir, "pages"), min_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -133,6 +156,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_simhash": op5_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
@@ -141,4 +165,5 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": _op2_sql(quality.Limits()),
     "op4_chat_formatting": OP4_SQL,
+    "op7_decontamination": OP7_SQL,
 }
