@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import chat, decontaminate, html_text, packing, quality, simhash, token_files, toxicity, warc
+from varve.llm import chat, decontaminate, html_text, packing, quality, simhash, suffix_dedup, token_files, toxicity, warc
 from varve.llm._shared import shared_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -110,6 +110,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measure(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -156,6 +160,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
