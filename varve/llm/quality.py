@@ -48,9 +48,9 @@ class Limits:
     min_chars: int = 100
     max_repeat_percent: int = 30
     char_distance: float = 0.26
-    char_chance: float = 1.2
-    word_distance: float = 0.44
-    word_chance: float = 0.6
+    char_chance: float = 1.4
+    word_distance: float = 0.255
+    word_chance: float = 1.4
     common_words: int = 40
     common_word_chars: int = 6
     reference_words: int = 5000
