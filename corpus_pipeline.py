@@ -1,15 +1,60 @@
-"""From raw documents to packed sequences; filled in once every stage's operator is there."""
+"""From raw documents to packed sequences, stage by stage.
+
+Each stage takes all that the one before kept, as Parquet, and its decisions take
+effect: rejected documents go, one document of each near-duplicate group stays,
+repeated passages and benchmark passages are cut out of the texts, and what is left is
+packed.  All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import packing, queries  # noqa: F401
-from varve.llm._shared import table
+from varve.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from varve.llm._shared import stash, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base counts and are near their language's histograms."""
+    return quality.keep(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints link at 4 or fewer bits."""
+    return simhash.deduplicate(docs, distance=4, shingle=4)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 400-byte strings that start anywhere else as well."""
+    return suffix_dedup.remove(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 10-word windows of benchmark items."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), window=10)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), packing.Packing(capacity=2048))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: The tokenizer has no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
