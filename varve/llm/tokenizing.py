@@ -5,11 +5,12 @@ character always begins a pre-token, and a line feed between two visible
 characters is one by itself.  A text is therefore cut there, and the ids of each
 chunk, once encoded by the library, are remembered; texts are mostly repeated
 words, so few chunks are encoded twice.  A mark that ends a chunk after a letter
-is a pre-token too.  Texts for which the cut is not plainly safe (runs of white
-space, control or exotic characters beside a space) are encoded as a whole.
+is a pre-token too.  Texts with a chunk for which the cut is not plainly safe (runs
+of white space, control or exotic characters beside a space) are encoded as a whole.
 
-The memory holds ``MAX_CHUNKS`` chunks at most; when full it is emptied, which
-costs time and changes no result.
+``MAX_CHUNKS`` chunks at most are remembered, and of those ``HOT`` that came again
+first once more in a small table, which the processor's caches hold.  When a memory is
+full it is emptied or closed, which costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -19,24 +20,32 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS = 1_400_000
+MAX_CHUNKS, HOT = 1_200_000, 80_000
 #: Longer chunks are rare and not worth remembering.
 MAX_CHUNK_CHARS = 40
-#: A space or line feed which is not followed by a character that surely is visible, or a text that begins with one.
-_UNSAFE = re.compile(r"[ \n](?![!-~À-ɏ])|^\n")
+#: Chunks are encoded this many at a time.
+AT_ONCE = 4096
+#: A chunk begins with a character that surely is visible, or a space before one.
+_SAFE = re.compile(r" ?[!-~À-ɏ]")
 
 _loaded: dict[str, Encoder] = {}
 
 
 class _Known(dict):
-    """Chunks and their ids; notes the chunks asked for that it lacks, in order."""
+    """The chunks that came again first; asks ``rest`` for others and notes those it lacks, in order."""
 
-    def __init__(self, always: dict[str, bytes]):
-        super().__init__(always)
+    def __init__(self, rest: dict[str, bytes]):
+        super().__init__(rest)
+        self.rest = rest
         self.missed: list[str] = []
 
-    def __missing__(self, chunk: str) -> None:
-        self.missed.append(chunk)
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.rest.get(chunk)
+        if ids is None:
+            self.missed.append(chunk)
+        elif len(self) < HOT:
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -50,9 +59,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("Ġ")]] = True
-        *self.marks, line_feed = self._batch([",", ".", "\n"])
-        self.always = {"\n": line_feed, "": b""}
-        self.known = _Known(self.always)
+        self.comma, self.stop, line_feed = self._batch([",", ".", "\n"])
+        self.always = {"\n": line_feed}
+        self.known = _Known(dict(self.always))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,50 +86,53 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Remember the ids of new chunks; those of overlong chunks are returned instead."""
-        known, overlong = self.known, {}
-        marked = [x for x in chunks if x[-1] in ",." and x[-2:-1].isalpha()]
-        plain = {x for x in chunks.difference(marked) | {x[:-1] for x in marked} if x not in known}
-        for heads in (False, True):
-            new = [x for x in plain if (x[:1] != " ") == heads]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for x, ids in zip(part, (self._batch if heads else self._encode_spaced)(part), strict=True):
-                    (known if len(x) <= MAX_CHUNK_CHARS else overlong)[x] = ids
-        for x in marked:
-            word = x[:-1]
-            ids = (known[word] if word in known else overlong[word]) + self.marks[x[-1] == "."]
-            (known if len(x) <= MAX_CHUNK_CHARS else overlong)[x] = ids
-        return overlong
+        """The ids of new chunks; those of safe and short ones are remembered."""
+        rest, new = self.known.rest, {}
+        safe = _SAFE.match
+        words = [x for x in chunks if safe(x)]
+        commas = [x[:-1] for x in words if x[-1] == "," and x[-2:-1].isalpha()]
+        stops = [x[:-1] for x in words if x[-1] == "." and x[-2:-1].isalpha()]
+        ask = {*words, *[x for x in commas if x not in rest], *[x for x in stops if x not in rest]}
+        ask.difference_update([x + "," for x in commas], [x + "." for x in stops])
+        heads = [x for x in ask if x[0] != " "]
+        for part, encode in ((heads, self._batch), (list(ask.difference(heads)), self._encode_spaced)):
+            for at in range(0, len(part), AT_ONCE):
+                some = part[at : at + AT_ONCE]
+                new.update(zip(some, encode(some), strict=True))
+        for bases, mark, ids in ((commas, ",", self.comma), (stops, ".", self.stop)):
+            new.update([(x + mark, (new[x] if x in new else rest[x]) + ids) for x in bases])
+        rest.update([(x, ids) for x, ids in new.items() if len(x) <= MAX_CHUNK_CHARS])
+        return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null or empty text has none."""
-        if len(self.known) > MAX_CHUNKS:
-            self.known = _Known(self.always)
+        if len(self.known.rest) > MAX_CHUNKS:
+            self.known = _Known(dict(self.always))
+        known = self.known
+        known.missed = missed = []
         out: list[bytes] = [b""] * len(texts)
-        whole: list[int] = []
         cut: list[tuple[int, list[bytes | None]]] = []
-        known = self.known
-        known.missed = []
+        whole: list[int] = []
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if "\0" in text or _UNSAFE.search(text):
+            if "\0" in text:
                 whole.append(k)
             else:
-                chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-                cut.append((k, list(map(known.__getitem__, chunks))))
-        for k, ids in zip(whole, self._batch([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        missed = known.missed
-        overlong = self._learn(set(missed)) if missed else {}
+                cut.append((k, list(map(known.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))))
+        new = self._learn(set(missed)) if missed else {}
         at = 0
         for k, found in cut:
-            place = -1
+            place, unsafe = -1, False
             for _ in range(found.count(None)):
                 place = found.index(None, place + 1)
-                chunk = missed[at]
-                found[place] = overlong[chunk] if chunk in overlong else known[chunk]
+                found[place] = ids = new.get(missed[at])
+                unsafe = unsafe or ids is None
                 at += 1
-            out[k] = b"".join(found)
+            if unsafe:
+                whole.append(k)
+            else:
+                out[k] = b"".join(found)
+        for k, ids in zip(whole, self._batch([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         return out
