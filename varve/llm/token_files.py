@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varve.llm._shared import stash
 from varve.llm.tokenizing import Encoder
 
 SCHEMA = "doc_id long, part int, place long, local_start long, n_tokens long, tokens array<int>"
@@ -96,10 +97,14 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
 
 
 def with_starts(tokens: DataFrame) -> DataFrame:
-    """Add ``start``, the ids of all documents before; one row for each file partition is summed in one task."""
+    """Add ``start``, the ids of all documents before.
+
+    One row for each file partition is summed in one task and written, so that Spark
+    knows how small the table is before it plans the join.
+    """
     sums = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return tokens.join(before, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    return tokens.join(stash(before, "starts")[0], "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def crc32_of_ids(tokens: DataFrame) -> DataFrame:
