@@ -80,8 +80,8 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     n, k = len(CLASSES) + 1, limits.common_words
     add = lambda df, *keys: df.groupBy(*keys).agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("classes"), F.sum("total").alias("total"))
     sized = _classes(texts).select("lang", "classes", F.size(words(F.col("text"))).cast("long").alias("total"))
-    by_lang = add(sized, "lang")
-    short = texts.select("lang", F.explode(F.filter(words(F.col("text")), lambda w: F.length(w) <= limits.common_word_chars)).alias("word"))
+    by_lang, _ = stash(add(sized, "lang"), "language-sums")
+    short = texts.select("lang", F.explode(words(F.col("text"))).alias("word")).where(F.length("word") <= limits.common_word_chars)
     counted = short.groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("word").rlike(r"^\p{L}+$"))
     # A language is null from here on in the rows for all languages together.
     totals = by_lang.unionByName(add(by_lang).select(everything.alias("lang"), "classes", "total"))
@@ -145,7 +145,9 @@ def _counts(docs: DataFrame, limits: Limits, refs: DataFrame, *carried: str) ->
         F.filter(F.split("text", "\n"), lambda line: F.trim(line, F.lit(" \t\n\x0b\x0c\r")) != "").alias("lines"),
     )
     known = cut.join(refs, "lang", "left")
-    hashed = known.select(
+    # Hashes of windows from those of their halves; nothing is made for the last words, where no window begins.
+    halves = lambda x, n: f"zip_with(slice({x}, 1, greatest(size({x}) - {n}, 0)), slice({x}, {n + 1}, greatest(size({x}) - {n}, 0)), (a, b) -> xxhash64(a, b))"
+    base = [
         *ids,
         "n_chars_",
         "classes",
@@ -154,14 +156,17 @@ def _counts(docs: DataFrame, limits: Limits, refs: DataFrame, *carried: str) ->
         F.concat("ref_counts", F.array(F.col("ref_total") - F.aggregate("ref_counts", F.lit(0).cast("long"), lambda acc, v: acc + v))).alias("ref_counts"),
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"if(size(words) < {WINDOW}, array(), transform(sequence(1, size(words) - {WINDOW - 1}), i -> xxhash64(slice(words, i, {WINDOW}))))").alias("windows"),
-        F.expr(f"transform(filter(words, w -> length(w) <= {limits.common_word_chars}), w -> array_position(ref_words, w))").alias("common"),
-    )
+        # Each word between two spaces of its own.
+        F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"),
+    ]
+    windows = known.select(*base, F.transform("words", lambda w: F.xxhash64(w)).alias("w1"))
+    for n in (1, 2, 4):
+        windows = windows.select(*[c for c in windows.columns if c != f"w{n}"], F.expr(halves(f"w{n}", n)).alias(f"w{2 * n}"))
     # Only texts in which a window comes twice have their windows sorted.
-    ordered = hashed.select(
-        *[c for c in hashed.columns if c not in ("windows", "common")],
-        F.expr("if(size(array_distinct(windows)) < size(windows), array_sort(transform(windows, (h, i) -> struct(h, i))), array())").alias("sorted"),
-        F.expr("transform(sequence(1, size(ref_words)), k -> size(common) - size(array_remove(common, k)))").alias("hits"),
+    ordered = windows.select(
+        *[c for c in windows.columns if c not in ("w8", "spaced")],
+        F.expr("if(size(array_distinct(w8)) < size(w8), sort_array(transform(w8, (h, i) -> struct(h, i))), array())").alias("sorted"),
+        F.expr("transform(ref_words, w -> cast((octet_length(spaced) - octet_length(replace(spaced, concat(' ', w, ' '), ''))) / (octet_length(w) + 2) as int))").alias("hits"),
     )
     again = ordered.select(
         *[c for c in ordered.columns if c not in ("sorted", "hits")],
