@@ -123,7 +123,10 @@ def keep(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     refs, _ = stash(references(docs, limits), "language-references")
     inside = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select("doc_id", "text", "lang", inside.alias("whole"))
-    return _counts(rows, limits, refs, "whole").where(_kept(limits)).select("whole.*")
+    judged = _counts(rows, limits, refs, "whole").select("whole", _kept(limits).alias("kept"))
+    # Not a filter on ``kept``: that would be pushed below the projections and would repeat their expressions many times over.
+    chosen = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("whole"))).alias("chosen"))
+    return chosen.where(F.col("chosen").isNotNull()).select("chosen.*")
 
 
 def _kept(limits: Limits) -> Column:
