@@ -185,8 +185,8 @@ def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFra
     # How many rows are the kept one, so that only of repeated rows all but one have to go.
     same = found.join(kept, "label").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
     first = same.groupBy("keep_id", "keep_hash").agg(F.count("*").alias("times"))
-    rows = docs.withColumn("own_hash_", F.xxhash64("text"))
-    stay = rows.join(first, rows["doc_id"].eqNullSafe(first["keep_id"]) & (rows["own_hash_"] == first["keep_hash"]))
-    once = stay.where("times = 1").select(*[docs[c] for c in docs.columns])
-    more = stay.where("times > 1").dropDuplicates(["keep_id", "keep_hash"]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(more)
+    # The rows travel inside a struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
+    stay = rows.join(first, rows["own_id"].eqNullSafe(first["keep_id"]) & (rows["own_hash"] == first["keep_hash"]))
+    once, more = stay.where("times = 1"), stay.where("times > 1").dropDuplicates(["keep_id", "keep_hash"])
+    return once.select("row").unionByName(more.select("row")).select("row.*")

@@ -336,12 +336,14 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     return copies.unionByName(sorted_.where(F.col("packed").isNull()).select(span)).unionByName(packed.mapInArrow(_settle, "doc_id long, text_hash long, first long, last long"))
 
 
-def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` with array ``spans`` of their repeated strings (null: none)."""
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as struct ``row``, with array ``spans`` of their repeated strings (null: none)."""
     runs = repeated_strings(docs)
     by_text = runs.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = docs.withColumn("own_hash_", F.xxhash64("text"))
-    return rows.join(by_text, rows["doc_id"].eqNullSafe(by_text["span_id"]) & (rows["own_hash_"] == by_text["span_hash"]), "left")
+    # The rows travel inside a struct, so that none of their names can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
+    joined = rows.join(by_text, rows["own_id"].eqNullSafe(by_text["span_id"]) & (rows["own_hash"] == by_text["span_hash"]), "left")
+    return joined.select("row", "spans")
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -376,7 +378,7 @@ def measure(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", F.col("text").cast("binary").alias("data"), "spans")
+    rows = _with_spans(docs.select("doc_id", "text")).select("row.doc_id", F.col("row.text").cast("binary").alias("data"), "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -389,15 +391,13 @@ def remove(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                spans = b.column(len(names)).to_pylist()
-                old = b.column(at).to_pylist()
+                columns, spans = b.column(0).flatten(), b.column(1).to_pylist()
+                old = columns[at].to_pylist()
                 new = [_cut(t.encode(), merge(s)).decode("utf-8", "ignore") if s else t for t, s in zip(old, spans, strict=True)]
-                columns = list(b.columns[: len(names)])
-                columns[at] = pa.array(new, b.schema.field(at).type)
+                columns[at] = pa.array(new, columns[at].type)
                 if count is not None:
-                    sizes = [len(t) if s else n for t, s, n in zip(new, spans, b.column(count).to_pylist(), strict=True)]
-                    columns[count] = pa.array(sizes, b.schema.field(count).type)
+                    sizes = [len(t) if s else n for t, s, n in zip(new, spans, columns[count].to_pylist(), strict=True)]
+                    columns[count] = pa.array(sizes, columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = _with_spans(docs).select(*[docs[c] for c in names], "spans")
-    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
+    return _with_spans(docs).mapInArrow(run, T.StructType(docs.schema.fields))
