@@ -106,10 +106,9 @@ def fit(rows: list[tuple[str, int]], fitting: Fitting = Fitting()) -> Model:
     labels = np.array([y for _, y in rows], float)
     if not 0 < labels.sum() < len(labels):
         return Model()
-    bags = [[[f for w in set(WORD.findall(s.lower())) for f in features(w)] for s in sentences(t)] for t, _ in rows]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, y in zip(bags, labels, strict=True):
-        seen[int(y)].update(set().union(*bag))
+    for (text, _), y in zip(rows, labels, strict=True):
+        seen[int(y)].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
     n = np.array([len(labels) - labels.sum(), labels.sum()])
     contrast = {}
     for word in seen[1].keys() | seen[0].keys():
@@ -119,8 +118,19 @@ def fit(rows: list[tuple[str, int]], fitting: Fitting = Fitting()) -> Model:
             contrast[word] = abs(b / n[1] - a / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
     words = sorted(contrast, key=lambda w: (-contrast[w], w))[: fitting.vocabulary]
     index = {w: k for k, w in enumerate(words)}
-    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    held = [[index[w] for w in s if w in index] for b in bags for s in b]
+    known: dict[str, list[int]] = {}
+
+    def numbers(word: str) -> list[int]:
+        if word not in known:
+            known[word] = [index[f] for f in features(word) if f in index]
+        return known[word]
+
+    held, sizes = [], []
+    for text, _ in rows:
+        bag = [[k for w in set(WORD.findall(s.lower())) for k in numbers(w)] for s in sentences(text)]
+        held += bag
+        sizes.append(len(bag))
+    of_doc = np.repeat(np.arange(len(rows)), sizes)
     at = np.repeat(np.arange(len(held)), [len(x) for x in held])
     word = np.array([k for x in held for k in x], int)
     w, bias, flips = np.zeros(len(words)), fitting.first_bias, np.array([-2.0, -2.0])
@@ -128,10 +138,10 @@ def fit(rows: list[tuple[str, int]], fitting: Fitting = Fitting()) -> Model:
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, fitting.steps + 1):
         p = sigmoid(bias + np.bincount(at, w[word], len(held)))
-        clean = np.exp(np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
+        clean = np.exp(np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(rows)))
         gone, lost = sigmoid(flips) / 2  # rates of labels 1 on clean and 0 on toxic documents
         said = gone + (1 - gone - lost) * (1 - clean)
-        d_said = (said - labels) / np.maximum(said * (1 - said), 1e-6) / len(bags)
+        d_said = (said - labels) / np.maximum(said * (1 - said), 1e-6) / len(rows)
         d_sentence = (d_said * (1 - gone - lost) * clean)[of_doc] * p
         slopes = sigmoid(flips) * (1 - sigmoid(flips)) / 2
         grad = np.concatenate(
