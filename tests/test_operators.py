@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import pytest
@@ -160,3 +161,71 @@ def test_packs_leave_out_a_torn_tail():
 def test_wire_fields():
     assert list(codecs.wire_fields(b"\x08\x96\x01\x12\x02hi")) == [(1, 150), (2, b"hi")]
     assert codecs.doubles(bytes(8) + b"\0\0\0\0\0\0\xf0?") == [0.0, 1.0]
+
+
+def test_manifest_files_round_trip(spark, tmp_path):
+    from varve.sources import manifests
+
+    root = {
+        "version": 1, "snapshotId": day("2026-01-05"), "createdAtMillis": 5, "chunks": {"minecraft:overworld": [{"pos": -1, "hash": b"\1\2"}], "empty": []},
+        "savedData": {"data/x.dat": b"\3"}, "levelDat": b"\4", "baselineComplete": True, "files": {"stats/é.json": {"h": b"\5", "s": True}},
+    }
+    assert manifests.read_tags(manifests.write_tags(root))["files"]["stats/é.json"] == {"h": b"\5", "s": 1}
+    (tmp_path / f"{day('2026-01-05')}.manifest").write_bytes(manifests.write_tags(root))
+    (tmp_path / f"{day('2026-01-06')}.manifest").write_bytes(manifests.write_tags({"version": 2}))
+    (tmp_path / f"{day('2026-01-04')}.manifest").write_bytes(manifests.write_tags({"version": 1, "snapshotId": day("2026-01-04")}))
+    folder = f"file://{tmp_path}"
+    assert [r[0] for r in manifests.list_ids(spark, folder).collect()] == [day("2026-01-06"), day("2026-01-05"), day("2026-01-04")]
+    h = {r.snapshot_id: r for r in manifests.read_headers(spark, folder).collect()}
+    assert h[day("2026-01-05")].baseline_complete and h[day("2026-01-05")].level_dat == "04" and not h[day("2026-01-04")].baseline_complete
+    assert not h[day("2026-01-06")].readable and "version 2" in h[day("2026-01-06")].error
+    os.remove(tmp_path / f"{day('2026-01-06')}.manifest")
+    got = {tuple(r)[1:] for r in manifests.read_entries(spark, folder).collect()}
+    assert got == {("chunk", "minecraft:overworld", -1, None, "0102", False), ("savedData", None, None, "data/x.dat", "03", False), ("files", None, None, "stats/é.json", "05", True), ("levelDat", None, None, "level.dat", "04", False)}
+
+
+def test_profile_reports():
+    from varve.sources import manifests
+
+    field = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
+    node = field(1, b"a.B") + field(2, b"run") + field(3, bytes(8) + b"\0\0\0\0\0\0\xf0?") + field(4, b"\x01\x96\x01")
+    report = field(7, field(5, b"main") + field(6, node))
+    names = {"threads": 7, "name": 5, "nodes": 6, "cls": 1, "method": 2, "times": 3, "refs": 4}
+    assert list(manifests.parse_profile(report, names)) == [("main", 0, "a.B", "run", 1.0, [1, 150])]
+
+
+def test_self_time_floors_and_ignores_numbers_of_no_node(spark):
+    from varve.operators import profile
+
+    nodes = spark.createDataFrame([("t", 0, "a", "x", 5, [1, 9]), ("t", 1, "b", "y", 7, [])], "thread string, idx int, cls string, method string, total long, refs array<int>")
+    links = profile.edges(nodes)
+    assert [tuple(r) for r in links.collect()] == [("t", 0, 1)]
+    assert {r.idx: r.self for r in profile.self_time(nodes, links).collect()} == {0: 0, 1: 7}
+
+
+def test_upkeep(spark, tmp_path):
+    from varve.operators import upkeep
+
+    df = spark.createDataFrame([("12\tno space", "12"), ("x", "?"), ("", "")], "m string, d string")
+    got = df.select(upkeep.parse_marker(F.col("m")).alias("m"), upkeep.parse_degraded(F.col("d")).alias("d")).collect()
+    assert got[0].m.reason == "no space" and got[1].m is None and [r.d for r in got] == [12, 0, 0]
+    f = spark.createDataFrame([("a.tmp", 1), ("b.tmp", 2), ("c", 1)], "path string, modified long")
+    assert upkeep.orphans(f).count() == 2 and [r.path for r in upkeep.orphans(f, 2).collect()] == ["a.tmp"]
+    pointer = f"file://{tmp_path}/current"
+    for v in ("v1", "v2"):
+        upkeep.publish(spark, pointer, v)
+        assert upkeep.published(spark, pointer) == v
+    more = upkeep.newest(spark.createDataFrame([(str(k),) for k in range(23)], "snapshot_id string"))
+    assert more[0].count() == 20 and more[1] == 3
+
+
+def test_stream_of_changes_to_snapshots(spark, tmp_path):
+    schema = "dim string, pos long, seq long, hash string, length long"
+    source, path = tmp_path / "in", f"file://{tmp_path}/out"
+    for k, rows in enumerate(([("d", 1, 1, "a", 1), ("d", 1, 2, "b", 1), ("d", 2, 3, "a", 1)], [("d", 2, 4, "c", 1)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"file://{source}")
+        stream = spark.readStream.schema(schema).parquet(f"file://{source}")
+        snapshotter.start(stream, path, f"file://{tmp_path}/check").awaitTermination()
+        assert spark.read.parquet(f"{path}/headers").count() == k + 1
+    assert {tuple(r) for r in snapshotter.manifest(spark, path).collect()} == {("d", 1, "b"), ("d", 2, "c")}
+    assert sorted(r.hash for r in spark.read.parquet(f"{path}/objects").collect()) == ["a", "b", "c"]

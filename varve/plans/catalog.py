@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from varve.functions import hashing, ids, positions
-from varve.operators import collection, integrity, metrics, profile, restore, retention, scan, snapshot, store
+from varve.operators import collection, integrity, metrics, profile, restore, retention, scan, snapshot, store, upkeep
 from varve.plans import tables as t
 from varve.sources import codecs
 from varve.streaming import snapshotter
@@ -585,3 +585,48 @@ def stream_snapshot(spark, sf):
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+# --- Upkeep -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT snapshot_id FROM headers ORDER BY snapshot_id DESC LIMIT 20")
+def snapshot_list(spark, sf):
+    return upkeep.newest(t.headers(spark, sf).select("snapshot_id"))[0]
+
+
+@query("""SELECT name, arg_min(lang, r) AS dim, arg_min(doc_id, r) AS doc_id FROM (SELECT source AS name, lang, min(doc_id) AS doc_id, list_position(['fr', 'en', 'de'], lang) AS r FROM documents GROUP BY ALL)
+WHERE r IS NOT NULL GROUP BY name""")
+def saved_data_probe(spark, sf):
+    d = t.read(spark, sf, "documents").groupBy(F.col("source").alias("name"), F.col("lang").alias("dim")).agg(F.min("doc_id").alias("doc_id"))
+    return upkeep.first_existing(d, ["fr", "en", "de"])
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type""")
+def change_only_log(spark, sf):
+    return upkeep.changed_only(t.read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("""SELECT count(*) AS checked, count(*) FILTER (WHERE o.hash IS NULL) AS missing, count(*) FILTER (WHERE o.doc_id % 97 = 1) AS mismatches
+FROM live l LEFT JOIN (SELECT * FROM objects WHERE doc_id % 13 <> 0) o USING (hash)""")
+def window_self_check(spark, sf):
+    o = t.objects(spark, sf).where("doc_id % 13 <> 0").withColumn("rehash", F.when(F.col("doc_id") % 97 == 1, "tampered").otherwise(F.col("hash")))
+    return upkeep.self_check(t.references(spark, sf), o)
+
+
+@query("SELECT count(*) AS dirty FROM (SELECT DISTINCT dim, pos FROM changes)")
+def dirty_size(spark, sf):
+    c = t.changes(spark, sf).select(F.lit("chunk").alias("channel"), "dim", "pos", F.lit(None).cast("string").alias("path"))
+    return upkeep.dirty_size(c)
+
+
+@query("SELECT doc_id AS key, CAST(toxic + 1 AS INT) AS attempt FROM labels WHERE quality = 0")
+def capture_retries(spark, sf):
+    a = t.read(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.col("toxic").alias("attempt"), (F.col("quality") == 1).alias("ok"))
+    return upkeep.retries(a)
+
+
+@query("SELECT url, starts_with(url, 'https://') AND length(url) > 40 AS inside FROM pages")
+def store_location(spark, sf):
+    p = t.read(spark, sf, "pages").select("url", F.concat(F.when(F.col("url").startswith("https://") & (F.length("url") > 40), "/world//a/").otherwise("/world-b/"), F.lit("x")).alias("path"))
+    return p.select("url", upkeep.is_nested(F.col("path"), F.lit("/world/")).alias("inside"))
