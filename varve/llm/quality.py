@@ -75,7 +75,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row a language: ``lang, ref_classes, ref_words, ref_counts, ref_total`` (words that are none of the common ones count in the total)."""
+    """One row a language: ``lang, ref_classes, ref_words, ref_hashes, ref_counts, ref_total``.
+
+    Words that are none of the common ones count in the total; counts are padded with zeros.
+    """
     texts, everything = _texts(docs), F.lit(None).cast("string")
     n, k = len(CLASSES) + 1, limits.common_words
     add = lambda df, *keys: df.groupBy(*keys).agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(n)]).alias("classes"), F.sum("total").alias("total"))
@@ -92,6 +95,8 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         totals["lang"].alias("key"), F.col("classes").alias("ref_classes"), F.coalesce(F.col("top.word"), F.array()).alias("ref_words"), F.coalesce(F.col("top.n"), F.array()).alias("ref_counts"), F.col("total").alias("ref_total")
     )
     key = F.when(F.col("total") >= limits.reference_words, F.col("lang"))
+    lacking = F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size("ref_counts"))
+    made = made.withColumn("ref_hashes", F.transform("ref_words", lambda w: F.xxhash64(w))).withColumn("ref_counts", F.concat("ref_counts", lacking))
     return by_lang.select("lang", key.alias("of")).join(made, F.col("of").eqNullSafe(F.col("key"))).drop("of", "key")
 
 
@@ -155,25 +160,34 @@ def _counts(docs: DataFrame, limits: Limits, refs: DataFrame, *carried: str) ->
         "n_chars_",
         "classes",
         "ref_classes",
-        "ref_words",
+        "ref_hashes",
         F.concat("ref_counts", F.array(F.col("ref_total") - F.aggregate("ref_counts", F.lit(0).cast("long"), lambda acc, v: acc + v))).alias("ref_counts"),
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        # Each word between two spaces of its own.
-        F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")).alias("spaced"),
     ]
     windows = known.select(*base, F.transform("words", lambda w: F.xxhash64(w)).alias("w1"))
-    for n in (1, 2, 4):
-        windows = windows.select(*[c for c in windows.columns if c != f"w{n}"], F.expr(halves(f"w{n}", n)).alias(f"w{2 * n}"))
-    # Only texts in which a window comes twice have their windows sorted.
-    ordered = windows.select(
-        *[c for c in windows.columns if c not in ("w8", "spaced")],
-        F.expr("if(size(array_distinct(w8)) < size(w8), sort_array(transform(w8, (h, i) -> struct(h, i))), array())").alias("sorted"),
-        F.expr("transform(ref_words, w -> cast((octet_length(spaced) - octet_length(replace(spaced, concat(' ', w, ' '), ''))) / (octet_length(w) + 2) as int))").alias("hits"),
+    # Common words are counted by their hashes, one pass over the hashes for each.
+    hits = F.array(*[F.coalesce(F.size("w1") - F.size(F.array_remove("w1", F.get("ref_hashes", F.lit(k)))), F.lit(0)) for k in range(limits.common_words)])
+    pairs = windows.select(*[c for c in windows.columns if c not in ("w1", "ref_hashes")], hits.alias("hits"), F.expr(halves("w1", 1)).alias("w2"))
+    fours = pairs.select(*[c for c in pairs.columns if c != "w2"], F.expr(halves("w2", 2)).alias("w4"))
+    # A window cannot come twice where none of half its size does.
+    eights = fours.select(*[c for c in fours.columns if c != "w4"], F.expr(f"if(size(array_distinct(w4)) < size(w4), {halves('w4', 4)}, array())").alias("w8"))
+    # Only texts in which a window comes twice have their windows sorted: by 44 bits of the hash and
+    # the place, which is one number, or, past 2**20 windows, by hash and place.
+    ordered = eights.select(
+        "*",
+        F.expr(f"if(size(array_distinct(w8)) < size(w8) and size(w8) < {1 << 20}, sort_array(transform(w8, (h, i) -> (h & {-1 << 20}L) | i)), array())").alias("packed"),
+        F.expr(f"if(size(w8) >= {1 << 20}, sort_array(transform(w8, (h, i) -> struct(h, i))), array())").alias("sorted"),
     )
+    place = lambda x: f"cast({x} & {(1 << 20) - 1}L as int)"
+    same = lambda j: f"coalesce(get(w8, {place('x')}) = get(w8, {place(f'get(packed, {j})')}), false)"
+    equal = lambda j: f"coalesce(x.h = get(sorted, {j}).h, false)"
     again = ordered.select(
-        *[c for c in ordered.columns if c not in ("sorted", "hits")],
-        F.expr("sort_array(array_compact(transform(sorted, (x, j) -> if(coalesce(x.h = get(sorted, j - 1).h, false) or coalesce(x.h = get(sorted, j + 1).h, false), x.i, null))))").alias("at"),
+        *[c for c in ordered.columns if c not in ("packed", "sorted", "hits", "w8")],
+        F.expr(
+            f"sort_array(concat(array_compact(transform(packed, (x, j) -> if({same('j - 1')} or {same('j + 1')}, {place('x')}, null))), "
+            f"array_compact(transform(sorted, (x, j) -> if({equal('j - 1')} or {equal('j + 1')}, x.i, null)))))"
+        ).alias("at"),
         F.concat("hits", F.array(F.col("n_words").cast("int") - F.aggregate("hits", F.lit(0), lambda acc, v: acc + v))).alias("hits"),
     )
     judged = (F.col("n_words") >= limits.min_words) & (F.col("n_chars_") >= limits.min_chars)
