@@ -15,12 +15,13 @@ full it is emptied or closed, which costs time and changes no result.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-MAX_CHUNKS, HOT = 1_200_000, 80_000
+MAX_CHUNKS, HOT = 1_000_000, 80_000
 #: Longer chunks are rare and not worth remembering.
 MAX_CHUNK_CHARS = 40
 #: Chunks are encoded this many at a time.
@@ -106,6 +107,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null or empty text has none."""
+        # The lists made here hold no cycles, and looking for some would mean going through the memory again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known.rest) > MAX_CHUNKS:
             self.known = _Known(dict(self.always))
         known = self.known
