@@ -91,5 +91,6 @@ def call_tree(spark, sf) -> tuple[DataFrame, DataFrame]:
     links = customer.select(F.col("r").cast("string").alias("thread"), (F.col("n") + 100).cast("long").alias("parent"), (F.col("c_custkey") + 1000).alias("child")).union(
         nation.select(F.col("r").cast("string").alias("thread"), F.col("r").cast("long").alias("parent"), (F.col("n") + 100).cast("long").alias("child"))
     )
-    nodes = root.union(middle).union(leaf)
-    return nodes, links.join(nodes.select("thread", F.col("idx").alias("child")), ["thread", "child"], "left_semi").select("thread", "parent", "child")
+    # A tree is read many times over by what walks it; where it comes from a table, nothing needs keeping.
+    nodes = root.union(middle).union(leaf).persist()
+    return nodes, links.join(nodes.select("thread", F.col("idx").alias("child")), ["thread", "child"], "left_semi").select("thread", "parent", "child").persist()
