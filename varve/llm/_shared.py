@@ -44,7 +44,7 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     of any executor without running the stages before it again.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

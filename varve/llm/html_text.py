@@ -11,14 +11,15 @@ What stands in marked places (navigation, header, footer, sidebar, form, script,
 a class, id or role that says so: see ``BOILERPLATE``) is never content.  If a
 page marks its article or main part, only that is taken; else its body.
 
-Pages are joined with exemplars by host, a join whose large sides Spark splits, and
-are parsed once; their blocks go to the shared folder and the template, which is a
-few numbers for each host, is joined to them.  Sibling lists whose matching table
+Pages are parsed once, where they are read; trees, digests and texts of their blocks go
+to the shared folder.  Only trees and digests are joined with the exemplars by host, a join
+whose large side Spark splits; then templates, a few numbers for each host that has
+one, are joined to the blocks.  Sibling lists whose matching table
 would pass ``MAX_CELLS`` cells are matched by runs of equal leaves instead.
 
 Defined results: null html gives an empty text, a null url is a host of its own;
 broken markup and cut-off pages are read as far as they go; repeated rows all stay and
-count; ties between exemplars go by page_id and html; an empty table gives an empty
+count; pages with equal hashes are equal exemplars; an empty table gives an empty
 result; other columns are ignored.  Pages are read whole, at any length.
 """
 
@@ -26,9 +27,11 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,66 +238,130 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
     return out
 
 
-def align(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks) where blocks is array<struct<node, same, text>>.
+def skeleton(root: Node) -> str:
+    """The tags of a tree: each element's, its children's, and a closing slash."""
+    out: list[str] = []
+    todo: list[Node | None] = [root]
+    while todo:
+        node = todo.pop()
+        if node is None:
+            out.append("/")
+        else:
+            out.append(node.tag)
+            todo.append(None)
+            todo += reversed(node.children)
+    return " ".join(out)
+
+
+def from_skeleton(text: str) -> Node:
+    """A numbered tree without texts."""
+    root = at = Node("", None)
+    n = 0
+    for tag in text.split(" "):
+        if tag == "/":
+            at = at.parent
+        else:
+            child = Node(tag, at)
+            child.number, n = n, n + 1
+            at.children.append(child)
+            at = child
+    return root.children[0]
+
+
+def _digest(texts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
+
 
-    ``node`` is the number of the matched node of the host's exemplar (null: none), ``same``
-    whether its blocks are the same there.
+_PAGE = "page_id long, url string, host string, own long, tree string, nodes array<int>, digests array<long>, texts array<string>"
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Every page as rows of _PAGE: its tree, and its blocks, each with the number and digest of the node that holds it.
+
+    ``own`` is a hash of the page, by which the host's exemplar is chosen.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    order = F.struct(F.xxhash64("page_id", "html").alias("h"), F.col("page_id").alias("p"), F.col("html").alias("example"))
-    examples = rows.groupBy("host").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("host", F.col("first.example").alias("example"))
-    joined = rows.join(examples, "host", "left").select("page_id", "url", "host", "html", "example")
+    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "html").alias("own"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
-        kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 b = whole.slice(start, 500)
-                found = []
-                for source, host, example in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                out: list[list] = [[], [], [], []]
+                for source in b.column(4).to_pylist():
                     tree = parse(source)
+                    _number(tree)
                     mine = blocks(tree)
-                    number, texts = {}, {}
-                    if example is not None:
-                        if at != (host, example):
-                            at, held = (host, example), _example(example)
-                        other, held_texts = held
-                        number = {id(x): y.number for x, y in match(tree, other)}
-                        texts = held_texts
                     by_node: dict[int, list[str]] = {}
                     for node, text in mine:
-                        by_node.setdefault(id(node), []).append(text)
-                    found.append(
-                        [
-                            {"node": number.get(id(node)), "same": id(node) in number and texts.get(number[id(node)]) == by_node[id(node)], "text": text}
-                            for node, text in mine
-                        ]
-                    )
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, kind)], names=["page_id", "url", "host", "blocks"])
-
-    return joined.mapInArrow(run, "page_id long, url string, host string, blocks array<struct<node: int, same: boolean, text: string>>")
-
-
-def _example(source: str) -> tuple[Node, dict[int, list[str]]]:
-    tree = parse(source)
-    _number(tree)
-    texts: dict[int, list[str]] = {}
-    for node, text in blocks(tree):
-        texts.setdefault(node.number, []).append(text)
-    return tree, texts
+                        by_node.setdefault(node.number, []).append(text)
+                    digest = {n: _digest(texts) for n, texts in by_node.items()}
+                    for column, x in zip(out, (skeleton(tree), [n.number for n, _ in mine], [digest[n.number] for n, _ in mine], [t for _, t in mine]), strict=True):
+                        column.append(x)
+                kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in _PAGE.split(", ")])
+
+    return rows.mapInArrow(run, _PAGE)
+
+
+class _Alignment:
+    """Page nodes to exemplar nodes; pages of one tree are matched with one exemplar once."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], dict[int, int]] = {}
+
+    def of(self, tree: str, example: str) -> dict[int, int]:
+        key = tree, example
+        if key not in self.known:
+            if len(self.known) >= 200:
+                self.known.clear()
+            self.known[key] = {x.number: y.number for x, y in match(from_skeleton(tree), from_skeleton(example))}
+        return self.known[key]
+
+
+def _count_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests) to (host, node, n): pages whose text at a node of the exemplar is the same."""
+    alignment = _Alignment()
+    for b in batches:
+        same: Counter = Counter()
+        for host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            there = dict(zip(ex_nodes, ex_digests, strict=True))
+            of = alignment.of(tree, ex_tree)
+            same.update((host, of[n]) for n, d in dict(zip(nodes, digests, strict=True)).items() if n in of and there.get(of[n]) == d)
+        rows = [(h, n, k) for (h, n), k in same.items()]
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "n"])
+
+
+def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, tree, nodes, digests, texts, ex_tree, constant, constant_digests) to (page_id, url, text)."""
+    alignment = _Alignment()
+    for b in batches:
+        found = []
+        for tree, nodes, digests, texts, ex_tree, constant, values in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+            if ex_tree is not None:
+                of, template = alignment.of(tree, ex_tree), dict(zip(constant, values, strict=True))
+                texts = [t for n, d, t in zip(nodes, digests, texts, strict=True) if n not in of or template.get(of[n]) != d]
+            found.append("\n\n".join(texts))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+
+
+def templates(read: DataFrame, constant_share: float = 0.8, least_pages: int = 5) -> DataFrame:
+    """(host, ex_tree, constant, constant_digests) of the hosts that have constant nodes, from the rows of ``read_pages``."""
+    hosts, _ = stash(read.groupBy("host").agg(F.min("own").alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
+    narrow = read.select("host", "own", "tree", "nodes", "digests")
+    example = narrow.join(hosts.select("host", "own"), ["host", "own"]).dropDuplicates(["host", "own"])
+    examples, _ = stash(example.select("host", F.col("tree").alias("ex_tree"), F.col("nodes").alias("ex_nodes"), F.col("digests").alias("ex_digests")), "exemplars")
+    same = narrow.drop("own").join(examples, "host").select("host", "tree", "nodes", "digests", "ex_tree", "ex_nodes", "ex_digests").mapInArrow(_count_same, "host string, node int, n long")
+    constant = same.groupBy("host", "node").agg(F.sum("n").alias("n")).join(hosts, "host").where(F.col("n") >= constant_share * F.col("pages"))
+    listed = constant.groupBy("host").agg(F.collect_list("node").alias("constant"))
+    values = F.transform("constant", lambda n: F.get("ex_digests", F.array_position("ex_nodes", n).cast("int") - 1))
+    return examples.join(listed, "host").select("host", "ex_tree", "constant", values.alias("constant_digests"))
 
 
 def extract(pages: DataFrame, constant_share: float = 0.8, least_pages: int = 5) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    aligned, _ = stash(align(pages), "aligned-pages")
-    same = aligned.select("host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda x: x["same"]), lambda x: x["node"]))).alias("node"))
-    n_pages = aligned.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    constant = same.groupBy("host", "node").agg(F.count("*").alias("n")).join(n_pages, "host").where(F.col("n") >= constant_share * F.col("pages"))
-    template, _ = stash(constant.groupBy("host").agg(F.collect_list("node").alias("template")), "templates")
-    content = F.filter("blocks", lambda x: ~F.coalesce(x["same"] & F.array_contains("template", x["node"]), F.lit(False)))
-    text = F.array_join(F.transform(content, lambda x: x["text"]), "\n\n")
-    joined = aligned.join(template, "host", "left").select("page_id", "url", text.alias("text"))
-    return joined.withColumn("n_chars", F.length("text").cast("long"))
+    read, _ = stash(read_pages(pages), "pages")
+    template, _ = stash(templates(read, constant_share, least_pages), "templates")
+    joined = read.join(template, "host", "left").select("page_id", "url", "tree", "nodes", "digests", "texts", "ex_tree", "constant", "constant_digests")
+    return joined.mapInArrow(_content, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
