@@ -172,16 +172,18 @@ def cluster(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     edges = links(different, distance)
     # xxhash64 of a long is a bijection: fingerprints get random numbers, and no two the same.
     label = components(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    named = different.withColumn("node", F.xxhash64("fp")).join(label, "node", "left").select("fp", "first", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    # Tables are written before they are joined by label: Spark splits the hot keys of a join only if it deals out both sides for it.
+    named, _ = stash(different.withColumn("node", F.xxhash64("fp")).join(label, "node", "left").select("fp", "first", F.coalesce("label", "node").alias("label")), "labels")
+    least, _ = stash(named.groupBy("label").agg(F.min("first").alias("component_id")), "component-names")
     of_fp, _ = stash(named.join(least, "label").select("fp", "label", "component_id"), "components")
     return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of ``docs``, one for each component: that with the smallest doc_id, then the smallest text hash."""
-    found = cluster(docs, distance, shingle)
+    found, _ = stash(cluster(docs, distance, shingle), "clusters")
     kept = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select("label", F.col("kept.doc_id").alias("keep_id"), F.col("kept.text_hash").alias("keep_hash"))
+    kept, _ = stash(kept, "kept")
     # How many rows are the kept one, so that only of repeated rows all but one have to go.
     same = found.join(kept, "label").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
     first = same.groupBy("keep_id", "keep_hash").agg(F.count("*").alias("times"))
