@@ -49,7 +49,7 @@ LENGTH, GRAM, STEP = 400, 64, 50
 #: Different contexts of a piece that are sorted together at most.
 CHUNK = 4096
 #: Bytes of texts hashed at once, and of contexts sorted at once.
-BLOCK, SORTED = 1 << 20, 6 << 20
+BLOCK, SORTED = 1 << 19, 2 << 20
 _BITS = 22  # places in a block
 _MASK = np.uint64((1 << _BITS) - 1)
 
@@ -314,12 +314,13 @@ def _settle_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """Runs (doc_id, text_hash, first, last) of places where repeated strings start."""
     found, _ = stash(_texts(docs).mapInArrow(_find_anchors, _ANCHOR), "anchors")
-    often = found.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece")
+    # Aggregates are written before they are joined: Spark splits the hot keys of a join only if it deals out both sides for it.
+    often, _ = stash(found.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece"), "repeated-pieces")
     repeated, _ = stash(found.join(often, "piece"), "repeated-anchors")
     some = F.struct("doc_id", "text_hash", "place", "first", "last")
     units, _ = stash(repeated.groupBy("piece", "context").agg(F.count("*").alias("times"), F.min(some).alias("one")), "contexts")
     copies = repeated.join(units.where("times > 1").select("piece", "context"), ["piece", "context"]).select("doc_id", "text_hash", "first", "last")
-    kinds = units.groupBy("piece").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds, _ = stash(units.groupBy("piece").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed-pieces")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
     mixed = units.join(kinds, "piece").select("piece", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), "times", "one.*")
     asked = mixed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("piece", "chunk", "chunks", "times", "first", "last")).alias("units"))

@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 
-MAX_CHUNKS, HOT = 1_000_000, 80_000
+MAX_CHUNKS, HOT = 700_000, 80_000
 #: Longer chunks are rare and not worth remembering.
 MAX_CHUNK_CHARS = 40
 #: Chunks are encoded this many at a time.
