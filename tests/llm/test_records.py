@@ -41,6 +41,16 @@ def test_constant_nodes_become_template(spark):
     assert all(got[k] == f"Title {k}\n\nText {k * 7}" for k in range(8)) and got[9].startswith("Welcome to us\n\nTitle 9")
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = lambda k: f"<html><body><div>Welcome to us</div><article><h1>Title {k}</h1><p>Text {k * 7}</p></article></body></html>"
+    plain = lambda k: f"<div>Welcome to us</div><div><h1>Title {k}</h1><p>Text {k * 7}</p></div>"
+    rows = [(k, f"http://copies/{k}", page(max(k, 40))) for k in range(43)] + [(100 + k, "http://alone/", page(0)) for k in range(9)]
+    rows += [(200 + k, f"http://mixed/{k}", plain(max(k, 40))) for k in range(48)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {max(k, 40)}\n\nText {max(k, 40) * 7}" for k in range(43)) and all(got[100 + k] == "Title 0\n\nText 0" for k in range(9))
+    assert all(got[200 + k] == f"Title {max(k, 40)}\n\nText {max(k, 40) * 7}" for k in range(48))  # 8 different pages, so the welcome is template
+
+
 def test_tree_matching_counts_nodes():
     a, b = (html_text.parse(x) for x in ("<div><p>1<p>2<ul><li>a<li>b</ul></div>", "<div><p>1<ul><li>a</ul><p>3</div>"))
     assert len(html_text.match(a, b)) == 5  # root, div, p, ul, li

@@ -4,8 +4,9 @@ The pages of a host are aligned with one of them, its exemplar (smallest hash),
 simple tree matching of their DOM trees: two trees match if their roots have the same
 tag, and then as many nodes as an order-preserving matching of their children allows.
 A node of the exemplar whose text is the same in ``constant_share`` or more of all
-pages of the host (``least_pages`` or more) belongs to the template; other nodes are
-slots, whose text is content.  Counts cover every page.
+different pages of the host (``least_pages`` or more) belongs to the template; other nodes
+are slots, whose text is content.  Counts cover every page; pages with the same tree and
+texts are one, so that copies of a page cannot make a template of its article.
 
 What stands in marked places (navigation, header, footer, sidebar, form, script, or
 a class, id or role that says so: see ``BOILERPLATE``) is never content.  If a
@@ -19,8 +20,7 @@ would pass ``MAX_CELLS`` cells are matched by runs of equal leaves instead.
 
 Defined results: null html gives an empty text, a null url is a host of its own;
 broken markup and cut-off pages are read as far as they go; repeated rows all stay and
-count; pages with equal hashes are equal exemplars; an empty table gives an empty
-result; other columns are ignored.  Pages are read whole, at any length.
+count once; an empty table gives an empty result; other columns are ignored.  Pages are read whole, at any length.
 """
 
 from __future__ import annotations
@@ -278,17 +278,17 @@ _PAGE = "page_id long, url string, host string, own long, tree string, nodes arr
 def read_pages(pages: DataFrame) -> DataFrame:
     """Every page as rows of _PAGE: its tree, and its blocks, each with the number and digest of the node that holds it.
 
-    ``own`` is a hash of the page, by which the host's exemplar is chosen.
+    ``own`` is a hash of the tree and the digests: the same for pages of the same content, and the least is the host's exemplar.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "html").alias("own"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 b = whole.slice(start, 500)
-                out: list[list] = [[], [], [], []]
-                for source in b.column(4).to_pylist():
+                out: list[list] = [[], [], [], [], []]
+                for source in b.column(3).to_pylist():
                     tree = parse(source)
                     _number(tree)
                     mine = blocks(tree)
@@ -296,10 +296,12 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     for node, text in mine:
                         by_node.setdefault(node.number, []).append(text)
                     digest = {n: _digest(texts) for n, texts in by_node.items()}
-                    for column, x in zip(out, (skeleton(tree), [n.number for n, _ in mine], [digest[n.number] for n, _ in mine], [t for _, t in mine]), strict=True):
+                    shape, at, digests = skeleton(tree), [n.number for n, _ in mine], [digest[n.number] for n, _ in mine]
+                    own = _digest([shape, *map(str, at), *map(str, digests)])
+                    for column, x in zip(out, (own, shape, at, digests, [t for _, t in mine]), strict=True):
                         column.append(x)
-                kinds = pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in _PAGE.split(", ")])
+                kinds = pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in _PAGE.split(", ")])
 
     return rows.mapInArrow(run, _PAGE)
 
@@ -320,7 +322,7 @@ class _Alignment:
 
 
 def _count_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests) to (host, node, n): pages whose text at a node of the exemplar is the same."""
+    """Rows (host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests) to (host, node, n): different pages whose text at a node of the exemplar is the same."""
     alignment = _Alignment()
     for b in batches:
         same: Counter = Counter()
@@ -348,9 +350,9 @@ def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(read: DataFrame, constant_share: float = 0.8, least_pages: int = 5) -> DataFrame:
     """(host, ex_tree, constant, constant_digests) of the hosts that have constant nodes, from the rows of ``read_pages``."""
-    hosts, _ = stash(read.groupBy("host").agg(F.min("own").alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
-    narrow = read.select("host", "own", "tree", "nodes", "digests")
-    example = narrow.join(hosts.select("host", "own"), ["host", "own"]).dropDuplicates(["host", "own"])
+    narrow, _ = stash(read.select("host", "own", "tree", "nodes", "digests").dropDuplicates(["host", "own"]), "contents")
+    hosts, _ = stash(narrow.groupBy("host").agg(F.min("own").alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
+    example = narrow.join(hosts.select("host", "own"), ["host", "own"])
     examples, _ = stash(example.select("host", F.col("tree").alias("ex_tree"), F.col("nodes").alias("ex_nodes"), F.col("digests").alias("ex_digests")), "exemplars")
     same = narrow.drop("own").join(examples, "host").select("host", "tree", "nodes", "digests", "ex_tree", "ex_nodes", "ex_digests").mapInArrow(_count_same, "host string, node int, n long")
     constant = same.groupBy("host", "node").agg(F.sum("n").alias("n")).join(hosts, "host").where(F.col("n") >= constant_share * F.col("pages"))
