@@ -51,6 +51,20 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[200 + k] == f"Title {max(k, 40)}\n\nText {max(k, 40) * 7}" for k in range(48))  # 8 different pages, so the welcome is template
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<p>See <a class="share">x</a> and the rest.</p><p>More', ["See and the rest.", "More"]),
+        ('<p>A<span class="ad">x <span>y</span> z <a class="share">w</a> v</span> b</p>tail', ["A b", "tail"]),
+        ('<p>A <sup class="comment">1</sup>b<br class="ad">c</p>', ["A b c"]),
+        ('<ul><li>A <a class="share">x<li>b</ul><p>c <span class="ad">x<p>d</p>e', ["A", "b", "c", "d", "e"]),
+        ('<div>A <b>b</b> <em class="promo">x</em>c</b> d</div>', ["A b c d"]),
+    ],
+)
+def test_marked_inline_elements_end(source, want):
+    assert [text for _, text in html_text.blocks(html_text.parse(source))] == want
+
+
 def test_tree_matching_counts_nodes():
     a, b = (html_text.parse(x) for x in ("<div><p>1<p>2<ul><li>a<li>b</ul></div>", "<div><p>1<ul><li>a</ul><p>3</div>"))
     assert len(html_text.match(a, b)) == 5  # root, div, p, ul, li

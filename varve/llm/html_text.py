@@ -62,17 +62,18 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "marked", "number", "parent", "tag", "texts")
+    __slots__ = ("children", "inside", "marked", "number", "parent", "tag", "texts")
 
     def __init__(self, tag: str, parent: Node | None, marked: bool = False):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.children: list[Node] = []
         self.texts: list[tuple[int, str]] = []  # each with the number of children before it
         self.number = -1
+        self.inside = 0  # of a marked inline element: open ones of its tag in it
 
 
 def parse(source: str) -> Node:
-    """The DOM tree of a page; inline elements are only text of the element around them."""
+    """The DOM tree of a page; inline elements are only text of the element around them, and no part of it if they are marked."""
     root = at = Node("#root", None)
     place, end = 0, len(source)
     while place < end:
@@ -86,9 +87,21 @@ def parse(source: str) -> Node:
         if found[2] is None:
             continue
         tag, closing = found[2].lower(), bool(found[1])
-        if tag in INLINE and not (found[3] and ATTRIBUTE.search(found[3]) and _says_boilerplate(found[3])):
-            if tag in ("br", "img", "wbr"):
+        if tag in INLINE:
+            if tag in VOID:
                 at.texts.append((len(at.children), " " if tag == "br" else ""))
+                continue
+            around = _inline(at, tag)
+            if closing:
+                if around is not None and around.inside:
+                    around.inside -= 1
+                elif around is not None:
+                    at = around.parent
+            elif not found[3].endswith("/"):
+                if found[3] and ATTRIBUTE.search(found[3]) and _says_boilerplate(found[3]):
+                    at = Node(tag, at, True)  # outside the tree: the text around it stays one block
+                elif around is not None:
+                    around.inside += 1
             continue
         if closing:
             node = at
@@ -109,6 +122,15 @@ def parse(source: str) -> Node:
     return root
 
 
+def _inline(at: Node, tag: str) -> Node | None:
+    """The nearest open marked inline element of a tag; none is open beyond a block."""
+    while at.tag in INLINE:
+        if at.tag == tag:
+            return at
+        at = at.parent
+    return None
+
+
 def _says_boilerplate(attributes: str) -> bool:
     for _, a, b, c in ATTRIBUTE.findall(attributes):
         for name in (a or b or c).lower().split():
@@ -126,6 +148,8 @@ def _open(at: Node, tag: str) -> Node:
             if node.tag in CLOSES[tag]:
                 return node.parent
             node = node.parent
+        while at.tag in INLINE:
+            at = at.parent
         return at
     node = at
     while node.parent is not None and (node.tag == "p" or node.tag in INLINE):
