@@ -51,6 +51,22 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[200 + k] == f"Title {max(k, 40)}\n\nText {max(k, 40) * 7}" for k in range(48))  # 8 different pages, so the welcome is template
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    post = lambda k: f"<body><div>Welcome to us</div><div><h1>Title {k}</h1><p>Text {k * 7}</p></div></body>"
+    table = lambda k: f"<body><table><tr><td>All our lists<tr><td>Entry {k}</table><section><ul><li>Call now<li>More {k}</ul></section></body>"
+    odd = lambda k: f"<body><dl><dt>Error {k}<dd>Not found</dl></body>"
+    rows = [(k, f"http://h/{k}", post(k)) for k in range(12)] + [(100 + k, f"http://h/t{k}", table(k)) for k in range(12)] + [(200 + k, f"http://h/o{k}", odd(k)) for k in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\n\nText {k * 7}" and got[100 + k] == f"Entry {k}\n\nMore {k}" for k in range(12))
+    assert all(got[200 + k] == f"Error {k}\n\nNot found" for k in range(2))
+
+
+def test_layouts_are_grouped_by_paths():
+    own = [("/div /h1 /p", 9, 1), ("/table/td", 6, 2), ("/h1 /p", 3, 3), ("/dl/dt /p", 2, 4)]
+    assert html_text.group_layouts(own, 5) == [("/div /h1 /p", 1, True, 12), ("/h1 /p", 1, True, 12), ("/table/td", 2, True, 6), ("/dl/dt /p", 1, False, 12)]
+    assert html_text.group_layouts([("/a", 3, 1), ("/b", 2, 2)], 5) == [("/a", 1, True, 5), ("/b", 1, True, 5)] and html_text.group_layouts([("/a", 4, 1)], 5) == []
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [

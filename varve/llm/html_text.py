@@ -1,20 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host are aligned with one of them, its exemplar (smallest hash), by
-simple tree matching of their DOM trees: two trees match if their roots have the same
-tag, and then as many nodes as an order-preserving matching of their children allows.
-A node of the exemplar whose text is the same in ``constant_share`` or more of all
-different pages of the host (``least_pages`` or more) belongs to the template; other nodes
-are slots, whose text is content.  Counts cover every page; pages with the same tree and
-texts are one, so that copies of a page cannot make a template of its article.
+The pages of a host are grouped by layout, the tag paths to their blocks of text: a layout
+joins the group with whose most common layout it shares most paths, ``SAME_LAYOUT`` of both
+at least.  The pages of a group are aligned with one of them, its exemplar (smallest hash of
+the most common layout), by simple tree matching of their DOM trees: two trees match if
+their roots have the same tag, and then as many nodes as an order-preserving matching of
+their children allows.  A node of the exemplar whose text is the same in ``constant_share``
+or more of all different pages of the group (``least_pages`` or more) belongs to the
+template; other nodes are slots, whose text is content.  Counts cover every page; pages with
+the same tree and texts are one, so that copies of a page cannot make a template of its
+article.  Pages of smaller groups are not counted, but lose what is the template of the
+group most like theirs; if a host has only such groups, all its pages are one group.
 
 What stands in marked places (navigation, header, footer, sidebar, form, script, or
 a class, id or role that says so: see ``BOILERPLATE``) is never content.  If a
 page marks its article or main part, only that is taken; else its body.
 
 Pages are parsed once, where they are read; trees, digests and texts of their blocks go
-to the shared folder.  Only trees and digests are joined with the exemplars by host, a join
-whose large side Spark splits; then templates, a few numbers for each host that has
+to the shared folder.  Only trees and digests are joined with the exemplars by host and layout,
+a join whose large side Spark splits; then templates, a few numbers for each layout that has
 one, are joined to the blocks.  Sibling lists whose matching table
 would pass ``MAX_CELLS`` cells are matched by runs of equal leaves instead.
 
@@ -55,6 +59,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 
 MAX_CELLS = 250_000
+#: Paths that two layouts share, of all that either has, from which on they are one group.
+SAME_LAYOUT = 0.5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 NAME = re.compile(r"[^\W_]+")
@@ -296,13 +302,25 @@ def _digest(texts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)
 
 
-_PAGE = "page_id long, url string, host string, own long, tree string, nodes array<int>, digests array<long>, texts array<string>"
+def layout(nodes: list[Node]) -> str:
+    """The different tag paths to nodes, in order."""
+    above: dict[int, str] = {}
+    for parent in {id(n.parent): n.parent for n in nodes}.values():
+        tags, node = [], parent
+        while node is not None and node.tag not in ("#root", "html", "body"):
+            tags.append(node.tag)
+            node = node.parent
+        above[id(parent)] = "/".join(reversed(tags))
+    return " ".join(sorted({f"{above[id(n.parent)]}/{n.tag}" for n in nodes}))
+
+
+_PAGE = "page_id long, url string, host string, own long, layout string, tree string, nodes array<int>, digests array<long>, texts array<string>"
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """Every page as rows of _PAGE: its tree, and its blocks, each with the number and digest of the node that holds it.
 
-    ``own`` is a hash of the tree and the digests: the same for pages of the same content, and the least is the host's exemplar.
+    ``own`` is a hash of the tree and the digests: the same for pages of the same content, and the least is the exemplar.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -311,7 +329,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 b = whole.slice(start, 500)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for source in b.column(3).to_pylist():
                     tree = parse(source)
                     _number(tree)
@@ -322,9 +340,9 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     digest = {n: _digest(texts) for n, texts in by_node.items()}
                     shape, at, digests = skeleton(tree), [n.number for n, _ in mine], [digest[n.number] for n, _ in mine]
                     own = _digest([shape, *map(str, at), *map(str, digests)])
-                    for column, x in zip(out, (own, shape, at, digests, [t for _, t in mine]), strict=True):
+                    for column, x in zip(out, (own, layout([n for n, _ in mine]), shape, at, digests, [t for _, t in mine]), strict=True):
                         column.append(x)
-                kinds = pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
+                kinds = pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[c.split()[0] for c in _PAGE.split(", ")])
 
     return rows.mapInArrow(run, _PAGE)
@@ -345,18 +363,66 @@ class _Alignment:
         return self.known[key]
 
 
+def group_layouts(layouts: list[tuple[str, int, int]], least_pages: int) -> list[tuple[str, int, bool, int]]:
+    """Layouts of a host (layout, pages, own), most pages first, to (layout, own of its group's exemplar, counted, counted pages of the group)."""
+    groups: list[list] = []  # the paths of the first layout, its own, pages, members
+    shared = lambda a, b: len(a & b) / len(a | b)
+    for name, pages, own in layouts:
+        paths = frozenset(name.split(" "))
+        best = max(groups, key=lambda g: shared(g[0], paths), default=None)
+        if best is None or shared(best[0], paths) < SAME_LAYOUT:
+            groups.append(best := [paths, own, 0, []])
+        best[2] += pages
+        best[3].append((name, paths))
+    large = [g for g in groups if g[2] >= least_pages]
+    if not large:
+        total = sum(g[2] for g in groups)
+        return [(name, layouts[0][2], True, total) for name, _, _ in layouts] if total >= least_pages else []
+    out = []
+    for g in groups:
+        for name, paths in g[3]:
+            at = g if g[2] >= least_pages else max(large, key=lambda x: shared(x[0], paths))
+            out.append((name, at[1], at is g, at[2]))
+    return out
+
+
+def _group(batches: Iterator[pa.RecordBatch], least_pages: int) -> Iterator[pa.RecordBatch]:
+    """Rows (host, layout, pages, own), sorted by host and then most pages first, to rows of _GROUPED."""
+
+    def grouped(host: str, held: list) -> pa.RecordBatch:
+        columns = list(zip(*group_layouts(held, least_pages), strict=True)) or [[]] * 4
+        kinds = pa.string(), pa.int64(), pa.bool_(), pa.int64()
+        arrays = [pa.array([host] * len(columns[0]), pa.string()), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _GROUPED.split(", ")])
+
+    at, held = None, []
+    for b in batches:
+        for host, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if host != at and held:
+                yield grouped(at, held)
+                held = []
+            at = host
+            held.append(tuple(rest))
+    if held:
+        yield grouped(at, held)
+
+
+_GROUPED = "host string, layout string, example long, counted boolean, pages long"
+
+
 def _count_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests) to (host, node, n): different pages whose text at a node of the exemplar is the same."""
+    """Rows (host, example, tree, nodes, digests, ex_tree, ex_nodes, ex_digests) to (host, example, node, n): different pages whose text at a node of the exemplar is the same."""
     alignment = _Alignment()
     for b in batches:
         same: Counter = Counter()
-        for host, tree, nodes, digests, ex_tree, ex_nodes, ex_digests in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for host, example, tree, nodes, digests, ex_tree, ex_nodes, ex_digests in zip(*(c.to_pylist() for c in b.columns), strict=True):
             there = dict(zip(ex_nodes, ex_digests, strict=True))
             of = alignment.of(tree, ex_tree)
-            same.update((host, of[n]) for n, d in dict(zip(nodes, digests, strict=True)).items() if n in of and there.get(of[n]) == d)
-        rows = [(h, n, k) for (h, n), k in same.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "n"])
+            same.update((host, example, of[n]) for n, d in dict(zip(nodes, digests, strict=True)).items() if n in of and there.get(of[n]) == d)
+        rows = [(*key, k) for key, k in same.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = pa.string(), pa.int64(), pa.int32(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["host", "example", "node", "n"])
 
 
 def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,21 +439,26 @@ def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(read: DataFrame, constant_share: float = 0.8, least_pages: int = 5) -> DataFrame:
-    """(host, ex_tree, constant, constant_digests) of the hosts that have constant nodes, from the rows of ``read_pages``."""
-    narrow, _ = stash(read.select("host", "own", "tree", "nodes", "digests").dropDuplicates(["host", "own"]), "contents")
-    hosts, _ = stash(narrow.groupBy("host").agg(F.min("own").alias("own"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
-    example = narrow.join(hosts.select("host", "own"), ["host", "own"])
-    examples, _ = stash(example.select("host", F.col("tree").alias("ex_tree"), F.col("nodes").alias("ex_nodes"), F.col("digests").alias("ex_digests")), "exemplars")
-    same = narrow.drop("own").join(examples, "host").select("host", "tree", "nodes", "digests", "ex_tree", "ex_nodes", "ex_digests").mapInArrow(_count_same, "host string, node int, n long")
-    constant = same.groupBy("host", "node").agg(F.sum("n").alias("n")).join(hosts, "host").where(F.col("n") >= constant_share * F.col("pages"))
-    listed = constant.groupBy("host").agg(F.collect_list("node").alias("constant"))
+    """(host, layout, ex_tree, constant, constant_digests) of the layouts whose group has constant nodes, from the rows of ``read_pages``."""
+    narrow, _ = stash(read.select("host", "own", "layout", "tree", "nodes", "digests").dropDuplicates(["host", "own"]), "contents")
+    kinds = narrow.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min("own").alias("own"))
+    dealt = kinds.repartition("host").sortWithinPartitions("host", F.desc("pages"), "layout").select("host", "layout", "pages", "own")
+    layouts, _ = stash(dealt.mapInArrow(lambda batches: _group(batches, least_pages), _GROUPED), "layouts")
+    groups = layouts.select("host", "example", "pages").distinct()
+    example = narrow.withColumnRenamed("own", "example").join(groups.select("host", "example"), ["host", "example"])
+    examples, _ = stash(example.select("host", "example", F.col("tree").alias("ex_tree"), F.col("nodes").alias("ex_nodes"), F.col("digests").alias("ex_digests")), "exemplars")
+    counted = narrow.join(layouts.where("counted").select("host", "layout", "example"), ["host", "layout"]).join(examples, ["host", "example"])
+    same = counted.select("host", "example", "tree", "nodes", "digests", "ex_tree", "ex_nodes", "ex_digests").mapInArrow(_count_same, "host string, example long, node int, n long")
+    constant = same.groupBy("host", "example", "node").agg(F.sum("n").alias("n")).join(groups, ["host", "example"]).where(F.col("n") >= constant_share * F.col("pages"))
+    listed = constant.groupBy("host", "example").agg(F.collect_list("node").alias("constant"))
     values = F.transform("constant", lambda n: F.get("ex_digests", F.array_position("ex_nodes", n).cast("int") - 1))
-    return examples.join(listed, "host").select("host", "ex_tree", "constant", values.alias("constant_digests"))
+    found = examples.join(listed, ["host", "example"]).select("host", "example", "ex_tree", "constant", values.alias("constant_digests"))
+    return layouts.select("host", "layout", "example").join(found, ["host", "example"]).drop("example")
 
 
 def extract(pages: DataFrame, constant_share: float = 0.8, least_pages: int = 5) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     read, _ = stash(read_pages(pages), "pages")
     template, _ = stash(templates(read, constant_share, least_pages), "templates")
-    joined = read.join(template, "host", "left").select("page_id", "url", "tree", "nodes", "digests", "texts", "ex_tree", "constant", "constant_digests")
+    joined = read.join(template, ["host", "layout"], "left").select("page_id", "url", "tree", "nodes", "digests", "texts", "ex_tree", "constant", "constant_digests")
     return joined.mapInArrow(_content, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
