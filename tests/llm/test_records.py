@@ -86,6 +86,25 @@ def test_tree_matching_counts_nodes():
     assert len(html_text.match(a, b)) == 5  # root, div, p, ul, li
 
 
+def test_long_lists_match_like_short_ones(monkeypatch):
+    rng = random.Random(3)
+    pieces = ["<p>x</p>", "<h2>x</h2>", "<div><p>x</p><p>y</p></div>", "<div><h2>x</h2><ul><li>a<li>b</ul></div>", "<ul><li>a</ul>", "<table><tr><td>x</table>"]
+    page = lambda n: "<body>" + "".join(rng.choice(pieces) for _ in range(n)) + "</body>"
+    sources = [(page(rng.randrange(1, 40)), page(rng.randrange(1, 40))) for _ in range(30)]
+    pairs = lambda a, b: [[html_text.skeleton(x), x.number, y.number] for x, y in html_text.match(a, b)]
+    found = []
+    for cells in (html_text.MAX_CELLS, 0):
+        monkeypatch.setattr(html_text, "MAX_CELLS", cells)
+        trees = [tuple(html_text.from_skeleton(html_text.skeleton(html_text.parse(x))) for x in two) for two in sources]
+        found.append([pairs(*two) for two in trees])
+    assert found[0] == found[1]
+
+
+def test_a_tag_that_moves_does_not_unalign_long_lists():
+    one, other = (html_text.parse(x) for x in ("<h2>a</h2>" + "<p>x</p>" * 600, "<p>x</p>" * 600 + "<h2>a</h2>"))
+    assert len(html_text.match(one, other)) == 601  # root and every p
+
+
 # --- Conversations
 
 

@@ -19,8 +19,8 @@ page marks its article or main part, only that is taken; else its body.
 Pages are parsed once, where they are read; trees, digests and texts of their blocks go
 to the shared folder.  Only trees and digests are joined with the exemplars by host and layout,
 a join whose large side Spark splits; then templates, a few numbers for each layout that has
-one, are joined to the blocks.  Sibling lists whose matching table
-would pass ``MAX_CELLS`` cells are matched by runs of equal leaves instead.
+one, are joined to the blocks.  Of sibling lists whose matching
+table would pass ``MAX_CELLS`` cells only some rows are held, which gives the same matches.
 
 Defined results: null html gives an empty text, a null url is a host of its own;
 broken markup and cut-off pages are read as far as they go; repeated rows all stay and
@@ -34,6 +34,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -180,7 +181,7 @@ def _match(a: Node, b: Node, known: dict) -> tuple[int, list[tuple[Node, Node]]]
         known[key] = 1, pairs
         return known[key]
     if len(xs) * len(ys) > MAX_CELLS:
-        matched = _by_runs(xs, ys)
+        matched = _by_rows(xs, ys, known)
     else:
         weight = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, x in enumerate(xs):
@@ -207,22 +208,56 @@ def _match(a: Node, b: Node, known: dict) -> tuple[int, list[tuple[Node, Node]]]
     return known[key]
 
 
-def _by_runs(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """The same for very long lists: siblings of one tag in a row are matched from the first on."""
-    matched, j = [], 0
-    places: dict[str, list[int]] = {}
-    for k, y in enumerate(ys):
-        places.setdefault(y.tag, []).append(k)
-    used = dict.fromkeys(places, 0)
-    for x in xs:
-        at = places.get(x.tag, [])
-        k = used.get(x.tag, 0)
-        while k < len(at) and at[k] < j:
-            k += 1
-        if k < len(at):
-            matched.append((x, ys[at[k]]))
-            j = at[k] + 1
-        used[x.tag] = k
+def _by_rows(xs: list[Node], ys: list[Node], known: dict) -> list[tuple[Node, Node]]:
+    """The same for very long lists: whole rows at once, of which every ``step``-th is held and those between are made again on the way back.
+
+    Equal subtrees have equal weights, so only different ones are matched; what is held besides rows grows with the pairs of these.
+    """
+    kinds: dict[str, int] = {}
+    firsts: list[Node] = []
+    kind_of_x, kind_of_y = ([kinds.setdefault(skeleton(n), len(kinds)) for n in nodes] for nodes in (xs, ys))
+    for n, k in zip([*xs, *ys], [*kind_of_x, *kind_of_y], strict=True):
+        if k == len(firsts):
+            firsts.append(n)
+    at = np.array(kind_of_y)
+    used = sorted(set(kind_of_y))
+    weights: dict[int, np.ndarray] = {}
+
+    def weight_of(x: Node, y: Node) -> int:
+        return 0 if x.tag != y.tag else 1 if not x.children or not y.children else _match(x, y, known)[0]
+
+    def following(row: np.ndarray, i: int) -> np.ndarray:
+        k = kind_of_x[i]
+        if k not in weights:
+            weights[k] = np.zeros(len(kinds), np.int64)
+            weights[k][used] = [weight_of(firsts[k], firsts[c]) for c in used]
+        out = np.zeros_like(row)
+        out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[k][at]))
+        return out
+
+    step = int(len(xs) ** 0.5) + 1
+    row = np.zeros(len(ys) + 1, np.int64)
+    held = [row]
+    for i in range(len(xs)):
+        row = following(row, i)
+        if (i + 1) % step == 0:
+            held.append(row)
+    matched, i, j = [], len(xs), len(ys)
+    while i and j:
+        start = (i - 1) // step * step
+        block = [held[start // step]]
+        for k in range(start, i):
+            block.append(following(block[-1], k))
+        while i > start and j:
+            row, above = block[i - start], block[i - start - 1]
+            if row[j] == above[j]:
+                i -= 1
+            elif row[j] == row[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                matched.append((xs[i], ys[j]))
+    matched.reverse()
     return matched
 
 
