@@ -229,3 +229,13 @@ def test_stream_of_changes_to_snapshots(spark, tmp_path):
         assert spark.read.parquet(f"{path}/headers").count() == k + 1
     assert {tuple(r) for r in snapshotter.manifest(spark, path).collect()} == {("d", 1, "b"), ("d", 2, "c")}
     assert sorted(r.hash for r in spark.read.parquet(f"{path}/objects").collect()) == ["a", "b", "c"]
+
+
+def test_heaviest_path_query_follows_deep_trees(spark, monkeypatch):
+    from varve.plans import catalog
+
+    nodes = spark.createDataFrame([("t", k, "c", "m", 100 - k) for k in range(30)], "thread string, idx long, cls string, method string, total long")
+    links = spark.createDataFrame([("t", k, k + 1) for k in range(9)], "thread string, parent long, child long")
+    monkeypatch.setattr(catalog.t, "call_tree", lambda spark, sf: (nodes, links))
+    got = {(r.depth, r.idx) for r in catalog.QUERIES["profile_heaviest_path"](spark, None).where("root = 0").collect()}
+    assert got == {(k, k) for k in range(10)}

@@ -72,15 +72,18 @@ def heaviest_child(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def heaviest_paths(nodes: DataFrame, links: DataFrame, roots: int = 3, depth: int = 24) -> DataFrame:
     """(thread, root, depth, idx, total) along the heaviest child from each thread's heaviest roots.
 
-    A path has one node a level, so at each level a few rows join with the table of heaviest children.
+    A path has one node a level, so at each level a few rows join with the table of heaviest children;
+    each level is looked at, and the first without rows is the last.
     """
     inner = links.select("thread", F.col("child").alias("idx"))
     w = Window.partitionBy("thread").orderBy(F.desc("total"), "idx")
     start = nodes.join(inner, ["thread", "idx"], "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= roots)
-    level = start.select("thread", F.col("idx").alias("root"), F.lit(0).alias("depth"), "idx")
-    follow, out = heaviest_child(nodes, links), level
+    level = start.select("thread", F.col("idx").alias("root"), F.lit(0).alias("depth"), "idx").persist()
+    follow, out = heaviest_child(nodes, links).persist(), level
     for k in range(1, depth + 1):
-        level = level.join(follow, ["thread", "idx"]).select("thread", "root", F.lit(k).alias("depth"), F.col("next").alias("idx"))
+        level = level.join(follow, ["thread", "idx"]).select("thread", "root", F.lit(k).alias("depth"), F.col("next").alias("idx")).persist()
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.join(nodes.select("thread", "idx", "total"), ["thread", "idx"])
 

@@ -490,7 +490,7 @@ def profile_attribution(spark, sf):
 path AS (SELECT thread, idx AS root, 0 AS depth, idx FROM nodes WHERE idx < 100 UNION ALL SELECT p.thread, p.root, p.depth + 1, b.next FROM path p JOIN best b ON b.thread = p.thread AND b.idx = p.idx WHERE p.depth < 24)
 SELECT p.thread, p.root, p.depth, p.idx, n.total FROM path p JOIN nodes n ON n.thread = p.thread AND n.idx = p.idx""")
 def profile_heaviest_path(spark, sf):
-    return profile.heaviest_paths(*t.call_tree(spark, sf), roots=3, depth=4).select("thread", "root", "depth", "idx", "total")
+    return profile.heaviest_paths(*t.call_tree(spark, sf), roots=3).select("thread", "root", "depth", "idx", "total")
 
 
 @query("""SELECT keyword, CAST(sum(total) AS BIGINT) AS total, count(*) AS nodes FROM nodes, (SELECT unnest(['shop', 'tick', 'land', 'pay']) AS keyword) WHERE contains(lower(cls || '.' || method), keyword) GROUP BY keyword""")
