@@ -187,14 +187,49 @@ def test_token_files_round_trip(spark, documents, tmp_path, encoding):
     token_files.write_tokens(documents(texts, ids).repartition(3), path, TOKENIZER, encoding=encoding, row_group_bytes=1 << 16)
     read = token_files.read_tokens(spark, path)
     got = sorted(token_files.crc32_of_ids(token_files.with_starts(read)).collect(), key=lambda r: r.start)
-    order = sorted(zip(ids, texts, encoded(texts), strict=True), key=lambda x: (x[0], x[1] is not None, (x[1] or "").encode()))
+    order = sorted(zip(ids, texts, encoded(texts), strict=True), key=lambda x: x[0])
     assert [r.doc_id for r in got] == [i for i, _, _ in order]
-    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([len(x) for _, _, x in order])])[:-1].tolist()
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, len(x), zlib.crc32(x.tobytes())) for i, _, x in order)
     some = token_files.read_tokens(spark, path, ["doc_id"], 100, 5000)
     assert {r.doc_id for r in some.collect()} == {i for i in ids if 100 <= i <= 5000}
 
 
+@pytest.mark.parametrize(("encoding", "name"), [("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")])
+def test_token_files_are_laid_out_for_selective_reads(spark, documents, tmp_path, encoding, name):
+    import pyarrow.parquet as pq
+
+    texts = [" ".join(f"w{(k * 31 + j) % 997}" for j in range(120)) for k in range(1200)]
+    path = f"{tmp_path}/tokens"
+    token_files.write_tokens(documents(texts).coalesce(1), f"file://{path}", TOKENIZER, encoding=encoding, row_group_bytes=1 << 16, page_bytes=1 << 12)
+    files = [f for f in (os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")) if pq.ParquetFile(f).metadata.num_rows]
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > len(files)  # more than one row group a file
+    for g in groups:
+        columns = {g.column(k).path_in_schema: g.column(k) for k in range(g.num_columns)}
+        tokens = columns["tokens.list.element"]
+        assert name in tokens.encodings and tokens.has_offset_index and columns["doc_id"].has_column_index
+        assert g.total_byte_size < 1 << 20
+    # Row groups hold ranges of ids that do not overlap, so a filter on ids leaves most of them alone.
+    ranges = sorted((g.column(0).statistics.min, g.column(0).statistics.max) for g in groups)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    some = token_files.read_tokens(spark, f"file://{path}", ["doc_id", "n_tokens"], 100, 110)
+    plan = some._jdf.queryExecution().toString()
+    assert some.count() == 11 and "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100), LessThanOrEqual(doc_id,110)]" in plan
+    assert plan.split("ReadSchema: ")[-1].splitlines()[0].strip() == "struct<doc_id:bigint,n_tokens:bigint>"
+
+
+def test_remembered_pieces_are_forgotten_without_effect(monkeypatch):
+    monkeypatch.setattr(tokenizing, "MAX_PIECES", 50)
+    reference = Tokenizer.from_file(TOKENIZER)
+    encoder = tokenizing.Encoder(TOKENIZER)
+    rng = random.Random(4)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["the", "of,", "or.", f"w{rng.random()}", "a" * 50, "x" + "".join(rng.choices("abcdef", k=5)) + "$$$"]) for _ in range(20)) for _ in range(10)]
+        ids, counts = encoder.flat(texts)
+        assert ids.tolist() == [i for t in texts for i in reference.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+
 def test_token_files_of_nothing(spark, documents, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_files.write_tokens(documents([]), path, TOKENIZER)

@@ -35,9 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.llm._shared import stash
-from varve.llm.tokenizing import Encoder
-
-STEP = 256
+from varve.llm.tokenizing import Encoder, slices
 
 
 @dataclass(frozen=True)
@@ -141,19 +139,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, packing: Packing, end_id: int =
     size = packing.piece
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder.of(tokenizer)
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, "i8")
         for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
+            for batch in slices(whole, 1):
+                ids, counts = encoder.flat_ended(batch.column(1), end_id)
+                ends = np.cumsum(counts)
                 rows: list[tuple] = []
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for doc_id, at, n in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), counts.tolist(), strict=True):
                     begin, stop = 0, n % size or size
                     for piece in range(-(-n // size)):
                         length = stop - begin
-                        rows.append((part, doc_id, piece, begin, length, zlib.crc32(ids[4 * begin : 4 * stop]), int(seen[length])))
+                        rows.append((part, doc_id, piece, begin, length, zlib.crc32(ids[at + begin : at + stop]), int(seen[length])))
                         seen[length] += 1
                         begin, stop = stop, stop + size
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)

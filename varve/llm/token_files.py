@@ -11,7 +11,7 @@ which are larger than texts, are never shuffled.  ``local_start`` counts ids wit
 a file partition; ``with_starts`` adds the sums of the partitions before it.
 
 Defined results: a null or empty text has only the end id; null doc_ids come
-first; equal doc_ids are ordered by text, and repeated rows all stay; an empty
+first; equal doc_ids are ordered by a hash of their text, and repeated rows all stay; an empty
 table gives an empty file set; other columns are ignored.  Very long texts are
 encoded whole.
 """
@@ -28,41 +28,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.llm._shared import stash
-from varve.llm.tokenizing import Encoder
+from varve.llm.tokenizing import Encoder, slices
 
 SCHEMA = "doc_id long, part int, place long, local_start long, n_tokens long, tokens array<int>"
-#: Documents encoded and passed on at once.
-STEP = 256
 
 
 def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """``docs`` (doc_id, text) as rows of ``SCHEMA``, range-partitioned and sorted by doc_id."""
-    rows = docs.select("doc_id", "text")
-    rows = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = docs.select("doc_id", "text", text_hash).repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = Encoder.of(tokenizer)
         part, place, start = TaskContext.get().partitionId(), 0, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
-                ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], "i8")
+            for batch in slices(whole, 1):
+                ids, n = encoder.flat_ended(batch.column(1), end_id)
                 ends = np.cumsum(n)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), flat)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(ids.view("i4")))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array(np.full(len(ids), part, "i4")),
-                        pa.array(np.arange(place, place + len(ids))),
+                        pa.array(np.full(len(n), part, "i4")),
+                        pa.array(np.arange(place, place + len(n))),
                         pa.array(start + ends - n),
                         pa.array(n),
                         tokens,
                     ],
                     names=["doc_id", "part", "place", "local_start", "n_tokens", "tokens"],
                 )
-                place, start = place + len(ids), start + int(ends[-1])
+                place, start = place + len(n), start + int(ends[-1])
 
     return rows.mapInArrow(encode, SCHEMA)
 

@@ -2,55 +2,47 @@
 
 Byte-level BPE never merges across pre-tokens.  A space followed by a visible
 character always begins a pre-token, and a line feed between two visible
-characters is one by itself.  A text is therefore cut there, and the ids of each
-chunk, once encoded by the library, are remembered; texts are mostly repeated
-words, so few chunks are encoded twice.  A mark that ends a chunk after a letter
-is a pre-token too.  Texts with a chunk for which the cut is not plainly safe (runs
-of white space, control or exotic characters beside a space) are encoded as a whole.
-
-``MAX_CHUNKS`` chunks at most are remembered, and of those ``HOT`` that came again
-first once more in a small table, which the processor's caches hold.  When a memory is
-full it is emptied or closed, which costs time and changes no result.
+characters is one by itself.  A text is therefore cut there, a batch of texts at once in
+Arrow; marks that end a chunk of letters are a pre-token too and are cut off.  Each different
+piece of a batch is looked up once, and its ids, once encoded by the library, are remembered
+in one array.  Texts with a chunk for which the cut is not plainly safe (runs of white
+space, control or exotic characters at its ends) are encoded as a whole, and so is every text
+if the tokenizer does not pre-tokenize in this way.
+
+``MAX_PIECES`` pieces at most are remembered; past that those that came in one batch only
+are forgotten, which costs time and changes no result.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
-import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_CHUNKS, HOT = 700_000, 80_000
-#: Longer chunks are rare and not worth remembering.
-MAX_CHUNK_CHARS = 40
-#: Chunks are encoded this many at a time.
+MAX_PIECES = 600_000
+#: Longer pieces are rare and not worth remembering.
+MAX_PIECE_CHARS = 40
+#: Pieces are encoded this many at a time.
 AT_ONCE = 4096
-#: A chunk begins with a character that surely is visible, or a space before one.
-_SAFE = re.compile(r" ?[!-~À-ɏ]")
+#: Bytes of texts that callers had best pass at once.
+BATCH_BYTES = 2 << 20
+# Letters of which no Unicode version doubts that they are, and the ASCII marks.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A chunk begins with a character that surely is visible, or a space before one, and does not end in white space.
+_SAFE = r"^ ?[!-~À-ɏ](?s:.*[^\s\x0b\x1c-\x1f\x85\pZ\pC])?$"
+_WORD = f"^ ?[{_LETTERS}]+$"
+_IN_WORD = " " + "".join(map(chr, [*range(65, 91), *range(97, 123), *[c for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7)]]))
 
 _loaded: dict[str, Encoder] = {}
 
 
-class _Known(dict):
-    """The chunks that came again first; asks ``rest`` for others and notes those it lacks, in order."""
-
-    def __init__(self, rest: dict[str, bytes]):
-        super().__init__(rest)
-        self.rest = rest
-        self.missed: list[str] = []
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        ids = self.rest.get(chunk)
-        if ids is None:
-            self.missed.append(chunk)
-        elif len(self) < HOT:
-            self[chunk] = ids
-        return ids
-
-
 class Encoder:
-    """Ids of texts under one tokenizer file, as little-endian unsigned 32-bit integers."""
+    """Ids of texts under one tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,11 +50,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        first = made.get("pre_tokenizer") or {}
+        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not made.get("normalizer")
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("Ġ")]] = True
-        self.comma, self.stop, line_feed = self._batch([",", ".", "\n"])
-        self.always = {"\n": line_feed}
-        self.known = _Known(dict(self.always))
+        # The ids of piece k are pool[starts[k] : starts[k] + sizes[k]]; piece 0 has none.
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.used = np.zeros(0, "<u4"), 0
+        self.starts, self.sizes, self.batches = np.zeros(1, "i8"), np.zeros(1, "i8"), np.zeros(1, "i8")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -71,79 +67,128 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts encoded one by one, laid end to end, and the number of each."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in lists for i in ids], "<u4"), np.array([len(x) for x in lists], "i8")
 
-    def _encode_spaced(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that each begin with their only space.
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that each begin with their only space, encoded as one text.
 
-        They are encoded as one text.  The only token of a chunk that holds a
-        space is its first, so such tokens show where each chunk begins.
+        The only token of a chunk that holds a space is its first, so such tokens show where each begins.
         """
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [*(4 * np.flatnonzero(self.spaced[ids])).tolist()[1:], 4 * len(ids)]
-        assert len(ends) == len(chunks)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of new chunks; those of safe and short ones are remembered."""
-        rest, new = self.known.rest, {}
-        safe = _SAFE.match
-        words = [x for x in chunks if safe(x)]
-        commas = [x[:-1] for x in words if x[-1] == "," and x[-2:-1].isalpha()]
-        stops = [x[:-1] for x in words if x[-1] == "." and x[-2:-1].isalpha()]
-        ask = {*words, *[x for x in commas if x not in rest], *[x for x in stops if x not in rest]}
-        ask.difference_update([x + "," for x in commas], [x + "." for x in stops])
-        heads = [x for x in ask if x[0] != " "]
-        for part, encode in ((heads, self._batch), (list(ask.difference(heads)), self._encode_spaced)):
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(chunks):
+            return self._each(chunks)
+        return ids, np.diff(np.append(begins, len(ids)))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the ids of new pieces."""
+        heads = [x for x in pieces if x[0] != " "]
+        tails = [x for x in pieces if x[0] == " "]
+        for part, encode in ((heads, self._each), (tails, self._joined)):
             for at in range(0, len(part), AT_ONCE):
                 some = part[at : at + AT_ONCE]
-                new.update(zip(some, encode(some), strict=True))
-        for bases, mark, ids in ((commas, ",", self.comma), (stops, ".", self.stop)):
-            new.update([(x + mark, (new[x] if x in new else rest[x]) + ids) for x in bases])
-        rest.update([(x, ids) for x, ids in new.items() if len(x) <= MAX_CHUNK_CHARS])
-        return new
+                ids, sizes = encode(some)
+                if self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(1 << 16, self.used, len(ids)), "<u4")])
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.known.update(zip(some, range(len(self.starts), len(self.starts) + len(some)), strict=True))
+                self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.batches = np.concatenate([self.batches, np.zeros(len(some), "i8")])
+                self.used += len(ids)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came in two batches and more, if they are not too many; and no long ones."""
+        stay = self.batches > 1
+        if 2 * stay.sum() > MAX_PIECES:
+            stay[:] = False
+        stay[0] = True
+        kept = [(x, k) for x, k in self.known.items() if stay[k] and len(x) <= MAX_PIECE_CHARS]
+        at = np.array([k for _, k in kept])
+        sizes = self.sizes[at]
+        self.pool = self.pool[_places(self.starts[at], sizes)]
+        self.used = len(self.pool)
+        self.known = {x: n for n, (x, _) in enumerate(kept)}
+        self.starts, self.sizes, self.batches = np.cumsum(sizes) - sizes, sizes, np.ones(len(kept), "i8")
+
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of pieces, each known afterwards."""
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+        numbers = np.fromiter(map(self.known.get, different, repeat(-1)), "i8", len(different))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self._learn([different[k] for k in new])
+            numbers[new] = [self.known[different[k]] for k in new]
+        self.batches[numbers] += 1
+        return numbers[coded.indices.to_numpy()]
+
+    def flat(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts laid end to end (unsigned 32-bit), and the number of each; a null or empty text has none."""
+        array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        array = array.cast(pa.large_string()).fill_null("")
+        if not len(array):
+            return np.zeros(0, "<u4"), np.zeros(0, "i8")
+        if not self.cuts:
+            return self._each(array.to_pylist())
+        if len(self.known) > MAX_PIECES:
+            self._forget()
+        odd = pc.match_substring(array, "\0")
+        cut = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", array), " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        chunks, code = coded.dictionary, coded.indices.to_numpy()
+        safe = pc.or_(pc.match_substring_regex(chunks, _SAFE), pc.equal(chunks, "\n"))
+        base = pc.utf8_rtrim(chunks, _MARKS)
+        word = pc.match_substring_regex(base, _WORD)
+        base = pc.if_else(safe, pc.if_else(word, base, chunks), "")
+        marks = pc.if_else(word, pc.utf8_ltrim(chunks, _IN_WORD), "")
+        pieces = np.column_stack([self._look_up(base), self._look_up(marks)])[code].ravel()
+        sizes = self.sizes[pieces]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        counts = np.diff(before[2 * ends], prepend=0)
+        ids = self.pool[_places(self.starts[pieces], sizes)]
+        # An unsafe chunk, the empty one for one, gives its text away to the library.
+        unsafe = np.concatenate([[0], np.cumsum(~safe.to_numpy(zero_copy_only=False)[code])])[ends]
+        whole = odd.to_numpy(zero_copy_only=False) | (np.diff(unsafe, prepend=0) > 0)
+        whole &= pc.binary_length(array).to_numpy() > 0
+        if not whole.any():
+            return ids, counts
+        which = np.flatnonzero(whole).tolist()
+        others, numbers = self._each(array.take(pa.array(which)).to_pylist())
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for k, some in zip(which, np.split(others, np.cumsum(numbers)[:-1]), strict=True):
+            parts[k] = some
+        counts[which] = numbers
+        return np.concatenate(parts), counts
+
+    def flat_ended(self, texts: list[str | None] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with an end id after each text."""
+        ids, counts = self.flat(texts)
+        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null or empty text has none."""
-        # The lists made here hold no cycles, and looking for some would mean going through the memory again and again.
-        on = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known.rest) > MAX_CHUNKS:
-            self.known = _Known(dict(self.always))
-        known = self.known
-        known.missed = missed = []
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[bytes | None]]] = []
-        whole: list[int] = []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if "\0" in text:
-                whole.append(k)
-            else:
-                cut.append((k, list(map(known.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))))
-        new = self._learn(set(missed)) if missed else {}
-        at = 0
-        for k, found in cut:
-            place, unsafe = -1, False
-            for _ in range(found.count(None)):
-                place = found.index(None, place + 1)
-                found[place] = ids = new.get(missed[at])
-                unsafe = unsafe or ids is None
-                at += 1
-            if unsafe:
-                whole.append(k)
-            else:
-                out[k] = b"".join(found)
-        for k, ids in zip(whole, self._batch([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        return out
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, counts = self.flat(texts)
+        data, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[k], starts[k] + 1, ... of each run, ``sizes[k]`` of them, one run after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES):
+    """A batch in parts of up to ``limit`` bytes of a text column; a longer text is a part of its own."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
