@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from varve.plans import records  # noqa: F401  (adds its queries)
 from varve.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

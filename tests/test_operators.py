@@ -149,7 +149,17 @@ def test_region_file_round_trip_and_damage(spark, tmp_path):
     assert {(r.dim, r.rx, r.rz, r.slot, r.x, r.z) for r in rows} == {("minecraft:the_nether", -1, 2, s, -32 + s % 32, 64 + s // 32) for s in slots}
     assert region_files.read_cell(spark, world, "minecraft:the_nether", -32, 64).first().status == "ok"
     whole = {r.slot: r for r in region_files.with_external(region_files.read_slots(regions), spark, world).collect()}
-    assert bytes(whole[7].payload) == big[1:]
+    assert bytes(whole[7].payload) == b"\x82" + big[1:] and codecs.payload_status(bytes(whole[7].payload)).startswith("corrupt")
+    # The same cell of another dimension and of the other channel has files of its own.
+    for place, byte in (("region", b"o"), ("DIM-1/entities", b"e")):
+        (tmp_path / "world" / place).mkdir(parents=True)
+        (tmp_path / "world" / place / "r.-1.2.mca").write_bytes(codecs.write_region({7: b"\x83" + byte, 8: b"\x83gone"})[0])
+        (tmp_path / "world" / place / "c.-25.64.mcc").write_bytes(byte)
+    rows = region_files.with_external(region_files.read_slots(region_files.list_regions(spark, world)), spark, world).where("slot in (7, 8)").collect()
+    got = {(r.dim.split("_")[-1], r.channel, r.slot): (r.payload and bytes(r.payload), r.status) for r in rows}
+    assert len(rows) == 5 and got["minecraft:overworld", "region", 7] == (b"\x83o", "external") and got["nether", "entities", 7] == (b"\x83e", "external")
+    assert got["nether", "entities", 8] == (None, "torn: external file is missing")
+    assert [r.dim for r in region_files.dimensions(region_files.list_regions(spark, world)).collect()] == ["minecraft:overworld", "minecraft:the_nether"]
     assert list(codecs.read_region(b"")) == [] and list(codecs.read_region(data[:5000]))[0][2] == "torn: header"
 
 
@@ -208,13 +218,15 @@ def test_upkeep(spark, tmp_path):
 
     df = spark.createDataFrame([("12\tno space", "12"), ("x", "?"), ("", "")], "m string, d string")
     got = df.select(upkeep.parse_marker(F.col("m")).alias("m"), upkeep.parse_degraded(F.col("d")).alias("d")).collect()
-    assert got[0].m.reason == "no space" and got[1].m is None and [r.d for r in got] == [12, 0, 0]
+    assert got[0].m.reason == "no space" and got[1].m is None and [r.d for r in got] == [12, None, None]
     f = spark.createDataFrame([("a.tmp", 1), ("b.tmp", 2), ("c", 1)], "path string, modified long")
     assert upkeep.orphans(f).count() == 2 and [r.path for r in upkeep.orphans(f, 2).collect()] == ["a.tmp"]
     pointer = f"file://{tmp_path}/current"
+    assert upkeep.published(spark, pointer) is None
     for v in ("v1", "v2"):
         upkeep.publish(spark, pointer, v)
         assert upkeep.published(spark, pointer) == v
+    assert upkeep.published(spark, pointer, back=1) == "v1" and upkeep.published(spark, pointer, back=2) is None
     more = upkeep.newest(spark.createDataFrame([(str(k),) for k in range(23)], "snapshot_id string"))
     assert more[0].count() == 20 and more[1] == 3
 

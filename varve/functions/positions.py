@@ -74,6 +74,22 @@ def area(x: Column, z: Column, radius: int) -> tuple[Column, Column]:
     return F.explode(F.sequence(x - radius, x + radius)), F.explode(F.sequence(z - radius, z + radius))
 
 
+def area_check(x: Column, z: Column, radius: Column) -> Column:
+    """What may be done with the area around a cell: its cells, whether an offline and an online restore take it, and whether the latter asks first.
+
+    Nothing is allowed whose corners leave the range of 32-bit integers.
+    """
+    side = 2 * radius.cast("long") + 1
+    low, high = F.lit(-(2**31)), F.lit(2**31 - 1)
+    fits = (radius >= 0) & (F.least(x, z) - radius.cast("long") >= low) & (F.greatest(x, z) + radius.cast("long") <= high)
+    return F.struct(
+        (side * side).alias("cells"),
+        (fits & (side * side <= MAX_CELLS)).alias("offline"),
+        (fits & (radius <= MAX_RADIUS)).alias("online"),
+        (side * side > CONFIRM_CELLS).alias("confirm"),
+    )
+
+
 def parse_pair(text: Column) -> Column:
     """'x,z' as a struct of integers; null where it is none."""
     parts = F.split(text, ",")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +67,26 @@ def compaction(packs: DataFrame, threshold: float, active: Column) -> DataFrame:
     return packs.withColumn("action", action)
 
 
-def size_guard(objects: DataFrame, live: DataFrame, max_bytes: int) -> DataFrame:
-    """Sizes before and after collection, which runs only past the limit."""
-    m = marked(objects, live)
-    sizes = m.agg(F.sum("length").alias("before"), F.coalesce(F.sum(F.when(F.col("is_live"), F.col("length"))), F.lit(0)).alias("kept"))
+def size_guard(objects: DataFrame, refs: DataFrame, headers: DataFrame, doomed: DataFrame, max_bytes: int, threshold: float = 0.5, hash_bytes: int = 16, protect: DataFrame | None = None) -> DataFrame:
+    """What a store past its limit frees: (before, triggered, pruned, bytes_freed, after, still_over).
+
+    Up to the limit nothing happens.  Past it the ``doomed`` snapshots go first, so that what only they
+    reference is dead; then packs are collected: those without a live object go whole, those whose dead share
+    passes ``threshold`` are rewritten, others keep their dead.
+    """
+    if max_bytes <= 0:
+        raise ValueError("the limit must be positive")
+    left = refs.join(doomed.select("snapshot_id"), "snapshot_id", "left_anti")
+    packs = compaction(per_pack(objects, live_set(left, *([] if protect is None else [protect])), hash_bytes), threshold, F.lit(False))
+    freed = F.when(F.col("action").isin("delete", "rewrite"), F.col("dead_bytes")).otherwise(0)
+    sizes = packs.agg(F.coalesce(F.sum(F.col("live_bytes") + F.col("dead_bytes")), F.lit(0)).alias("before"), F.coalesce(F.sum(freed), F.lit(0)).alias("freed"))
+    gone = headers.select("snapshot_id").join(doomed.select("snapshot_id"), "snapshot_id", "left_semi").agg(F.count("*").alias("n"))
     over = F.col("before") > max_bytes
-    after = F.when(over, F.col("kept")).otherwise(F.col("before"))
-    return sizes.select("before", over.alias("collected"), after.alias("after"), (after > max_bytes).alias("still_over"))
+    when = lambda x: F.when(over, x).otherwise(0).cast("long")
+    after = F.col("before") - when(F.col("freed"))
+    return sizes.crossJoin(gone).select(  # one row each
+        "before", over.alias("triggered"), when(F.col("n")).alias("pruned"), when(F.col("freed")).alias("bytes_freed"), after.alias("after"), (after > max_bytes).alias("still_over")
+    )
 
 
 def dead_in_window(written: DataFrame, pending: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -81,16 +97,18 @@ def dead_in_window(written: DataFrame, pending: DataFrame, referenced: DataFrame
 def triggers(windows: DataFrame, order: str, dead_count: str, limit: int) -> DataFrame:
     """Dead objects summed over windows; at ``limit`` a collection runs and the sum begins anew.
 
-    A fold over one number a snapshot.
+    A fold over one pair of numbers a snapshot: they pass through one task in order, of which only the sum is held.
     """
-    rows = windows.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), F.col(dead_count).cast("long").alias("n")))).alias("rows"))
-    state = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums")),
-        lambda acc, x: F.struct(
-            F.when(acc["sum"] + x["n"] >= limit, F.lit(0)).otherwise(acc["sum"] + x["n"]).cast("long").alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x["n"])).alias("sums")
-        ),
-        lambda acc: acc["sums"],
-    )
-    out = rows.select(F.explode(F.arrays_zip("rows", state.alias("sums"))).alias("z"))
-    return out.select(F.col("z.rows.k").alias(order), F.col("z.sums").alias("accumulated"), (F.col("z.sums") >= limit).alias("collects"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for b in batches:
+            sums = []
+            for n in b["n"].tolist():
+                total = (0 if total >= limit else total) + n
+                sums.append(total)
+            yield pd.DataFrame({order: b[order], "accumulated": pd.Series(sums, dtype="int64"), "collects": [x >= limit for x in sums]})
+
+    kind = windows.schema[order].dataType.simpleString()
+    rows = windows.select(F.col(order), F.col(dead_count).cast("long").alias("n")).repartition(1).sortWithinPartitions(order)
+    return rows.mapInPandas(fold, f"{order} {kind}, accumulated long, collects boolean")

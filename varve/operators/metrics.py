@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def worker_counters(attempts: DataFrame) -> DataFrame:
-    """Received, unique, deduped and failed per channel; each attempt is received, the first of a hash is unique."""
-    w = Window.partitionBy("channel", "hash").orderBy("seq")
-    first = (F.row_number().over(w) == 1) & F.col("hash").isNotNull()
-    marked = attempts.withColumn("is_first", first)
-    return marked.groupBy("channel").agg(
-        F.count("*").alias("received"),
-        F.count_if("is_first").alias("unique_objects"),
-        F.count_if(F.col("hash").isNotNull() & ~F.col("is_first")).alias("deduped"),
-        F.count_if(F.col("hash").isNull()).alias("failed"),
+    """Received, unique, deduped and failed per channel; each attempt is received, the first of a hash is unique, one without a hash failed.
+
+    Attempts are counted for each hash and the counts summed; both are combined before their shuffles, so neither
+    a frequent hash nor the failures of a channel are gathered anywhere.
+    """
+    per_hash = attempts.groupBy("channel", "hash").agg(F.count("*").alias("n"))
+    failed, total = F.col("hash").isNull(), lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return per_hash.groupBy("channel").agg(
+        F.sum("n").alias("received"),
+        F.count_if(~failed).alias("unique_objects"),
+        total(F.when(~failed, F.col("n") - 1)).alias("deduped"),
+        total(F.when(failed, F.col("n"))).alias("failed"),
     )
 
 

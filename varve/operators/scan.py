@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,28 @@ def scan_new(slots: DataFrame, dirty: DataFrame, objects: DataFrame) -> DataFram
     return clean.join(objects.select("hash", F.lit(True).alias("have")), "hash", "left").withColumn("stored", F.col("have").isNull()).drop("have")
 
 
+def scan_passes(read: Callable[[DataFrame], DataFrame], files: DataFrame, path: str, passes: int = 8) -> tuple[DataFrame, bool]:
+    """The slots of files, read again where a read failed, and whether in the end all files were read whole.
+
+    ``read`` turns rows of files (channel, dim, file, ...) into slots with these and ``status``; a status that begins
+    with ``torn`` fails its file, of which then no slot counts.  Every pass is written below ``path``, so no file is read for it twice.
+    """
+    spark, left, good = files.sparkSession, files, None
+    torn = F.col("status").startswith("torn")
+    for k in range(passes):
+        read(left).write.mode("overwrite").parquet(f"{path}/pass-{k}")
+        slots = spark.read.parquet(f"{path}/pass-{k}")
+        failed = slots.where(torn).select(*FILE).distinct()
+        whole = slots.join(failed, FILE, "left_anti")
+        good = whole if good is None else good.unionByName(whole)
+        if failed.isEmpty():
+            return good, True
+        left = files.join(failed, FILE, "left_semi")
+    return good, False
+
+
 def changed_since(files: DataFrame, cutoff) -> DataFrame:
-    """Files modified strictly after a cutoff."""
+    """Files modified strictly after a cutoff (a literal, or the one value of another table: ``DataFrame.scalar()``)."""
     return files.where(F.col("modified") > cutoff)
 
 
@@ -52,3 +74,8 @@ def merge_index(base: DataFrame, delta: DataFrame, removed: DataFrame) -> DataFr
     """The entries of a base under those of a delta, without removed ones."""
     hidden = delta.select("hash").union(removed.select("hash"))
     return base.join(hidden, "hash", "left_anti").unionByName(delta)
+
+
+def in_hash_order(index: DataFrame) -> DataFrame:
+    """An index in the order of its hashes' unsigned bytes, which is that of their lower-case hex; range-partitioned, so it is written in parts that follow each other."""
+    return index.orderBy("hash")

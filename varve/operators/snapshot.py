@@ -47,6 +47,18 @@ def diff(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return a.join(b, keys, "full_outer").where(~F.col("old_hash").eqNullSafe(F.col("new_hash"))).select(*keys, "old_hash", "new_hash", kind.alias("kind"))
 
 
+def byte_stats(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """Bytes of each snapshot's different objects, and of those that the snapshot before it lacks: (snapshot_id, unique_bytes, delta_bytes).
+
+    Snapshot ids, one a snapshot, are numbered in one task; references are joined on hashes.
+    """
+    distinct = refs.select("snapshot_id", "hash").distinct()
+    order = distinct.select("snapshot_id").distinct().withColumn("after", F.lead("snapshot_id").over(Window.orderBy("snapshot_id")))
+    before = distinct.join(F.broadcast(order), "snapshot_id").select(F.col("after").alias("snapshot_id"), "hash", F.lit(True).alias("had")).where(F.col("snapshot_id").isNotNull())
+    held = distinct.join(before, ["snapshot_id", "hash"], "left").join(objects.select("hash", "length"), "hash")
+    return held.groupBy("snapshot_id").agg(F.sum("length").alias("unique_bytes"), F.coalesce(F.sum(F.when(F.col("had").isNull(), F.col("length"))), F.lit(0)).alias("delta_bytes"))
+
+
 def level_file(drained: Column, read: Column, inherited: Column) -> Column:
     """The level file's hash: of this window's change, else of the file, else of the previous snapshot."""
     return F.coalesce(drained, read, inherited)

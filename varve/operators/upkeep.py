@@ -14,8 +14,13 @@ def parse_marker(line: Column) -> Column:
 
 
 def parse_degraded(line: Column) -> Column:
-    """The time from which a degraded session is blind; a damaged marker counts from the beginning, never as none."""
-    return F.coalesce(F.trim(line).try_cast("long"), F.lit(0).cast("long"))
+    """The time from which a degraded session is blind; null if the marker is damaged or empty, which must not be taken for time 0."""
+    return F.trim(F.regexp_replace(line, r"[\r\n\t]", " ")).try_cast("long")
+
+
+def parse_pending(line: Column) -> Column:
+    """The snapshot that a waiting restore names; null if the marker is empty."""
+    return F.nullif(F.trim(F.regexp_replace(line, r"[\r\n\t]", " ")), F.lit(""))
 
 
 def first_existing(files: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -72,20 +77,38 @@ def backfill(changes: DataFrame, rescanned: DataFrame) -> DataFrame:
     return rescanned.withColumn("seq", F.lit(-1).cast("long")).unionByName(changes)
 
 
+def pending_hashes(*channels: DataFrame) -> DataFrame:
+    """The hashes that changes of any channel wait with."""
+    out = channels[0].select("hash")
+    for more in channels[1:]:
+        out = out.union(more.select("hash"))
+    return out.where(F.col("hash").isNotNull()).distinct()
+
+
+def _path(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def publish(spark, pointer: str, version: str) -> None:
-    """Point readers to a new version of a table in one rename; the old version stays for a rollback."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, fresh = jvm.org.apache.hadoop.fs.Path(pointer), jvm.org.apache.hadoop.fs.Path(pointer + ".new")
-    fs = target.getFileSystem(conf)
+    """Point readers to a new version of a table.
+
+    ``pointer`` is a folder of numbered files, of which the last counts.  The new one appears in one rename, at
+    no moment is there none, and the older ones stay for a rollback.
+    """
+    folder, fs = _path(spark, pointer)
+    fs.mkdirs(folder)
+    last = max((int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), default=-1)
+    fresh, _ = _path(spark, f"{pointer}/_new")
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(target):
-        old = jvm.org.apache.hadoop.fs.Path(pointer + ".old")
-        fs.delete(old, False)
-        fs.rename(target, old)
-    fs.rename(fresh, target)
+    if not fs.rename(fresh, _path(spark, f"{pointer}/{last + 1:012d}")[0]):
+        raise OSError(f"version {version} could not be published at {pointer}")
 
 
-def published(spark, pointer: str) -> str:
-    return spark.read.text(pointer).first()[0]
+def published(spark, pointer: str, back: int = 0) -> str | None:
+    """The version that readers see, or one of those before it; null if there is none."""
+    folder, fs = _path(spark, pointer)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()) if fs.exists(folder) else []
+    return spark.read.text(f"{pointer}/{names[-1 - back]}").first()[0] if len(names) > back else None

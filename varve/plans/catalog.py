@@ -119,9 +119,13 @@ def pack_assignment(spark, sf):
 # --- Positions --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT dim, x, z, (x & 4294967295) | ((z & 4294967295) << 32) AS pos, x AS x2, z AS z2 FROM (SELECT DISTINCT dim, x, z % 1000 AS z FROM cells WHERE z >= 0)")
+#: A packed position in SQL: the upper half counts as negative where z does.
+_POS = "(x & 4294967295) | CAST((CAST(z & 4294967295 AS HUGEINT) * 4294967296 - CASE WHEN z < 0 THEN 18446744073709551616 ELSE 0 END) AS BIGINT)"
+
+
+@query(f"SELECT dim, x, z, {_POS} AS pos, x AS x2, z AS z2 FROM (SELECT DISTINCT dim, x, z FROM cells)")
 def position_pack_unpack(spark, sf):
-    c = t.cells(spark, sf).where("z >= 0").select("dim", "x", (F.col("z") % 1000).alias("z")).distinct().withColumn("pos", positions.pack(F.col("x"), F.col("z")))
+    c = t.cells(spark, sf).select("dim", "x", "z").distinct().withColumn("pos", positions.pack(F.col("x"), F.col("z")))
     return c.withColumn("x2", positions.unpack_x(F.col("pos"))).withColumn("z2", positions.unpack_z(F.col("pos")))
 
 
@@ -301,10 +305,17 @@ def compaction_plan(spark, sf):
     return collection.compaction(pack_live_dead(spark, sf), t.DEAD_SHARE, F.col("pack_id") % t.ACTIVE_PACK_ROWS == 0)
 
 
-@query("""SELECT before, before > 1000000 AS collected, CASE WHEN before > 1000000 THEN kept ELSE before END AS after, CASE WHEN before > 1000000 THEN kept ELSE before END > 1000000 AS still_over
-FROM (SELECT CAST(sum(length) AS BIGINT) AS before, CAST(coalesce(sum(length) FILTER (WHERE is_live), 0) AS BIGINT) AS kept FROM marked)""")
+@query(""", alive AS (SELECT DISTINCT hash FROM refs WHERE snapshot_id NOT IN ('snap-00', 'snap-01', 'snap-02')),
+sizes AS (SELECT pack_id, count(*) FILTER (WHERE a.hash IS NOT NULL) AS live, CAST(coalesce(sum(length + 36) FILTER (WHERE a.hash IS NOT NULL), 0) AS BIGINT) AS live_bytes,
+  CAST(coalesce(sum(length + 36) FILTER (WHERE a.hash IS NULL), 0) AS BIGINT) AS dead_bytes FROM objects o LEFT JOIN alive a USING (hash) GROUP BY pack_id),
+whole AS (SELECT CAST(sum(live_bytes + dead_bytes) AS BIGINT) AS before, CAST(coalesce(sum(dead_bytes) FILTER (WHERE live = 0 OR dead_bytes / (live_bytes + dead_bytes) > 0.5), 0) AS BIGINT) AS freed FROM sizes)
+SELECT before, before > 1000000 AS triggered, CASE WHEN before > 1000000 THEN (SELECT count(DISTINCT snapshot_id) FROM refs WHERE snapshot_id IN ('snap-00', 'snap-01', 'snap-02')) ELSE 0 END AS pruned,
+  CASE WHEN before > 1000000 THEN freed ELSE 0 END AS bytes_freed, before - CASE WHEN before > 1000000 THEN freed ELSE 0 END AS after,
+  before - CASE WHEN before > 1000000 THEN freed ELSE 0 END > 1000000 AS still_over FROM whole""")
 def store_size_guard(spark, sf):
-    return collection.size_guard(t.objects(spark, sf), collection.live_set(t.references(spark, sf)), t.STORE_LIMIT)
+    refs = t.references(spark, sf)
+    headers = refs.select("snapshot_id").distinct()
+    return collection.size_guard(t.objects(spark, sf), refs, headers, headers.where("snapshot_id < 'snap-03'"), t.STORE_LIMIT, t.DEAD_SHARE, hash_bytes=32)
 
 
 @query("""SELECT DISTINCT hash FROM stored WHERE hash NOT IN (SELECT hash FROM stored WHERE doc_id % 4 = 0) AND hash NOT IN (SELECT hash FROM live)""")
@@ -377,10 +388,9 @@ def restore_area_targets(spark, sf):
     return _targets(spark)
 
 
-def _restored(spark, sf, day=None):
-    manifest = _asof(spark, sf, day) if day else snapshot.last_writer(t.changes(spark, sf), F.struct("ts", "seq"))
-    objects = manifest.where("pos % 11 <> 0").select("hash").distinct()
-    return restore.resolve(_targets(spark), manifest, objects)
+def _restored(spark, sf):
+    manifest = snapshot.last_writer(t.changes(spark, sf), F.struct("ts", "seq"))
+    return restore.resolve(_targets(spark), manifest, manifest.where("pos % 11 <> 0").select("hash").distinct())
 
 
 _RESOLVE = _TARGETS + """, m AS (SELECT dim, pos, arg_max(hash, (ts, seq)) AS hash FROM changes WHERE {when} GROUP BY dim, pos)
@@ -389,7 +399,9 @@ SELECT dim, CAST(x AS INT) AS x, CAST(z AS INT) AS z, m.hash, CASE WHEN m.hash I
 
 @query(_RESOLVE.format(when=f"ts < DATE '{DAY_A}' + INTERVAL 1 DAY"))
 def restore_partial(spark, sf):
-    return _restored(spark, sf, DAY_A).select("dim", "x", "z", "hash", "outcome")
+    manifest = _asof(spark, sf, DAY_A)
+    targets = _targets(spark).withColumn("explicit", F.lit(False))
+    return restore.restore_partial(targets, manifest, manifest.where("pos % 11 <> 0").select("hash").distinct()).select("dim", "x", "z", "hash", "outcome")
 
 
 @query(_RESOLVE.format(when="true"))
@@ -546,7 +558,7 @@ def rate_limit_spacing(spark, sf):
     return snapshotter.spacing(e.select(F.col("event_type").alias("channel"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000000).alias("now_ns"), (1 + F.col("event_id") % 300).alias("rate")))
 
 
-@query()
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'corrupt: payload is cut short' WHEN 2 THEN 'corrupt: bad data' WHEN 3 THEN 'corrupt: unknown payload kind 7' ELSE 'ok' END AS status FROM documents""")
 def payload_integrity(spark, sf):
     """Documents as payloads: whole, cut short, damaged or of no known kind by their id."""
     import zlib
@@ -568,11 +580,7 @@ def payload_integrity(spark, sf):
 @query("SELECT dim, pos, arg_max(hash, seq) AS hash FROM changes GROUP BY dim, pos")
 def stream_snapshot(spark, sf):
     """The changes as a stream, each run's snapshots in one folder, and the manifest they leave."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="varve-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = t.shared_path(spark, "stream")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     source = f"{sf}/events.parquet" if _is_folder(spark, f"{sf}/events.parquet") else sf
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if source != sf else "events.parquet").parquet(source)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,17 @@ from varve.operators.store import hash_objects
 ACTIVE_PACK_ROWS, PACK_BYTES, DEAD_SHARE, STORE_LIMIT = 9, 65_536, 0.5, 1_000_000
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; only on one machine, where none is set, a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="varve-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -91,6 +105,9 @@ def call_tree(spark, sf) -> tuple[DataFrame, DataFrame]:
     links = customer.select(F.col("r").cast("string").alias("thread"), (F.col("n") + 100).cast("long").alias("parent"), (F.col("c_custkey") + 1000).alias("child")).union(
         nation.select(F.col("r").cast("string").alias("thread"), F.col("r").cast("long").alias("parent"), (F.col("n") + 100).cast("long").alias("child"))
     )
-    # A tree is read many times over by what walks it; where it comes from a table, nothing needs keeping.
-    nodes = root.union(middle).union(leaf).persist()
-    return nodes, links.join(nodes.select("thread", F.col("idx").alias("child")), ["thread", "child"], "left_semi").select("thread", "parent", "child").persist()
+    # A tree is read many times over by what walks it, so it is written once; where it comes from a table, nothing needs keeping.
+    path = shared_path(spark, "tree")
+    root.union(middle).union(leaf).write.parquet(f"{path}/nodes")
+    nodes = spark.read.parquet(f"{path}/nodes")
+    links.join(nodes.select("thread", F.col("idx").alias("child")), ["thread", "child"], "left_semi").select("thread", "parent", "child").write.parquet(f"{path}/links")
+    return nodes, spark.read.parquet(f"{path}/links")

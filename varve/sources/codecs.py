@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -36,10 +37,10 @@ def payload_status(payload: bytes | None) -> str:
     """ok, empty, external, or what is wrong with a payload (a kind byte and data)."""
     if not payload:
         return "empty"
-    if payload[0] & EXTERNAL:
+    if payload[0] & EXTERNAL and len(payload) == 1:
         return "external"
     try:
-        inflate(payload[0], payload[1:])
+        inflate(payload[0] & ~EXTERNAL, payload[1:])
     except (ValueError, zlib.error) as e:
         return f"corrupt: {e}" if isinstance(e, ValueError) else "corrupt: bad data"
     return "ok"
@@ -83,11 +84,13 @@ def read_region(data: bytes, validate: bool = True) -> Iterator[tuple[int, bytes
 def write_region(slots: dict[int, bytes]) -> tuple[bytes, dict[int, bytes]]:
     """A region file of payloads by slot, and the data of those that need files of their own.
 
-    Slots go in order from the third sector on; times are zero; more than 255 sectors are external.
+    Slots go in order from the third sector on; times are zero; more than 255 sectors are external, and so is what was.
     """
     table, body, outside, at = [0] * SLOTS, [], {}, 2
     for slot, payload in sorted(slots.items()):
-        if -(-(4 + len(payload)) // SECTOR) > 255:
+        if payload[0] & EXTERNAL and len(payload) < 2:
+            raise ValueError(f"external payload of slot {slot} has no bytes")
+        if payload[0] & EXTERNAL or -(-(4 + len(payload)) // SECTOR) > 255:
             outside[slot], payload = payload[1:], bytes([payload[0] | EXTERNAL])
         count = -(-(4 + len(payload)) // SECTOR)
         table[slot] = at << 8 | count
@@ -112,6 +115,39 @@ def read_pack(data: bytes, hash_bytes: int = 16) -> Iterator[tuple[bytes, int, b
         at += frame + length
 
 
+def scan_packs(spark: SparkSession, folder: str, hash_bytes: int = 16) -> DataFrame:
+    """(pack_id, offset, hash, length, payload) of every record of the packs (``<number>.pack``) below a folder, pack by pack where it is read.
+
+    Written with ``write_objects`` it is a table that finds single hashes without a scan.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pack").option("recursiveFileLookup", "true").load(folder)
+    number = F.regexp_extract("path", r"(\d+)\.pack$", 1).try_cast("long")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pack_id, content in zip(batch["pack_id"], batch["content"], strict=True):
+                found = list(read_pack(bytes(content), hash_bytes))
+                for at in range(0, len(found), 1000):
+                    some = found[at : at + 1000]
+                    yield pd.DataFrame({"pack_id": pack_id, "offset": [o for _, o, _ in some], "hash": [h.hex() for h, _, _ in some], "length": [len(b) for _, _, b in some], "payload": [b for _, _, b in some]})
+
+    return files.select(number.alias("pack_id"), "content").mapInPandas(parse, "pack_id long, offset long, hash string, length long, payload binary")
+
+
+def write_objects(objects: DataFrame, path: str) -> None:
+    """Objects as a table in the order of their hashes, with bloom filters: look-ups read the row groups that may hold a hash, and of these the pages."""
+    ordered = objects.repartitionByRange("hash").sortWithinPartitions("hash")
+    ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.expected.ndv#hash", "1000000").parquet(path)
+
+
+def look_up(objects: DataFrame, hashes: list[str]) -> DataFrame:
+    """The objects of some hashes; an error names one that is not there."""
+    wanted = objects.sparkSession.createDataFrame([(h,) for h in dict.fromkeys(hashes)], "hash string")
+    found = wanted.join(objects.where(F.col("hash").isin(hashes)), "hash", "left")
+    missing = F.raise_error(F.concat(F.lit("no such object: "), F.col("hash"))).cast("long")
+    return found.withColumn("length", F.coalesce("length", missing))
+
+
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of the fields of a protobuf message: integers, or raw bytes of the other kinds."""
 

@@ -1,53 +1,152 @@
 """A stream of changes to snapshots, one a micro-batch; and the two flow-control folds.
 
-Each batch hashes its changes, stores new objects, collapses to the last writer of
-each key and writes, in this order: objects, entries, header.  A header is the last
-thing written, so a snapshot that readers see is whole; a failed batch is run again
-from the checkpoint and replaces what it had written.  Triggers: ``availableNow`` for
-manual runs, ``processingTime`` for scheduled ones.
+A batch has changes of cells (channels ``chunk`` and ``entity``: dim, pos) and of saved data (``savedData``:
+path).  A snapshot is made in this order: the latest header is read, and if it cannot be, or is
+of an unknown version, nothing is drained or written; changes are collapsed to the last writer of each key;
+files and the level file are read anew (``files`` replace those of the snapshot before as a whole); new
+objects are stored; then entries, then the header are written, and then the ``after`` steps run
+(promotion, pruning, verification, collection).  The header is the last thing written, so a
+snapshot that readers see is whole; a failed batch is run again from the checkpoint and replaces
+what it had written.  Triggers: ``availableNow`` for manual runs, ``processingTime`` for scheduled ones.
+
+New objects are found by an anti-join of the batch's hashes with the store's, which lies in folders by the first
+``PREFIX`` digits of the hash; only the folders of hashes that the batch has are read.  Few and large batches want
+one digit, many and small ones more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from varve.operators.snapshot import last_writer
 from varve.operators.store import new_objects
 
-
-def start(changes: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Start writing snapshots of a streaming DataFrame (dim, pos, seq, hash, length) below ``path``."""
-
-    def snapshot(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+VERSION = 1
+KEY = ["channel", "dim", "pos", "path"]
+PREFIX = 1
+
+
+class CorruptBaseline(Exception):
+    """The latest header cannot be trusted, so no snapshot may be built on it."""
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def latest_header(spark: SparkSession, path: str, before: int) -> Row | None:
+    """The header of the last snapshot before a batch, None for the first; an error if it cannot be read or is of another version."""
+    headers = _read(spark, f"{path}/headers")
+    if headers is None:
+        return None
+    number = headers.where(F.col("batch") < before).agg(F.max("batch").alias("n")).first().n
+    if number is None:
+        return None
+    try:
+        found = spark.read.parquet(f"{path}/headers/batch={number}").first()
+    except Exception as e:
+        raise CorruptBaseline(f"the header of snapshot {number} cannot be read") from e
+    if found is None or found.asDict().get("version") != VERSION:
+        raise CorruptBaseline(f"the header of snapshot {number} is none of version {VERSION}")
+    return found
+
+
+def _complete(changes: DataFrame) -> DataFrame:
+    """Changes with a channel (chunk, if they have none) and a path."""
+    for name, value in (("channel", F.lit("chunk")), ("path", F.lit(None).cast("string"))):
+        if name not in changes.columns:
+            changes = changes.withColumn(name, value)
+    return changes.select(*KEY, "seq", "hash", "length")
+
+
+def _as_entries(files: DataFrame, channel: str, path, suspect) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    return files.select(F.lit(channel).alias("channel"), none("string").alias("dim"), none("long").alias("pos"), path.alias("path"), "hash", suspect.alias("suspect"))
+
+
+def create(
+    changes: DataFrame,
+    path: str,
+    number: int,
+    files: Callable[[], DataFrame] | None = None,
+    level: Callable[[], DataFrame] | None = None,
+    after: tuple[Callable[[SparkSession, str, int], None], ...] = (),
+) -> None:
+    """Make snapshot ``number`` of changes; ``files`` gives (path, hash, length, suspect), ``level`` one row (hash, length) or none."""
+    spark = changes.sparkSession
+    latest_header(spark, path, number)
+    batch = _complete(changes)
+    cells, incoming = last_writer(batch, F.col("seq"), *KEY).withColumn("suspect", F.lit(False)), batch.select("hash", "length")
+    for read, channel, name, suspect in ((files, "files", F.col("path"), F.col("suspect")), (level, "levelDat", F.lit("level.dat"), F.lit(False))):
+        if read is not None:
+            found = read()
+            cells, incoming = cells.unionByName(_as_entries(found, channel, name, suspect)), incoming.unionByName(found.select("hash", "length"))
+    incoming = incoming.withColumn("prefix", F.concat(F.lit("h"), F.substring("hash", 1, PREFIX)))
+    objects, store = incoming.dropDuplicates(["hash"]), _read(spark, f"{path}/objects")
+    if store is not None:
         # The batch's own part is left out, so that a batch that is run again finds what it first found.
-        try:
-            store = spark.read.parquet(f"{path}/objects").where(F.col("batch") < number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            store = spark.createDataFrame([], "hash string, length long, batch long")
-        objects = new_objects(batch.select("hash", "length"), store)
-        objects.write.mode("overwrite").parquet(f"{path}/objects/batch={number}")
-        entries = last_writer(batch, F.col("seq"), "dim", "pos")
-        entries.write.mode("overwrite").parquet(f"{path}/entries/batch={number}")
-        header = spark.read.parquet(f"{path}/entries/batch={number}").agg(F.count("*").alias("n_entries"), F.count_distinct("hash").alias("n_hashes"))
-        header.write.mode("overwrite").parquet(f"{path}/headers/batch={number}")
-
-    writer = changes.writeStream.foreachBatch(snapshot).option("checkpointLocation", checkpoint)
+        prefixes = [r.prefix for r in incoming.select("prefix").distinct().collect()]  # 16 ** PREFIX at most
+        objects = new_objects(incoming, store.where(F.col("prefix").isin(prefixes) & (F.col("batch") < number)))
+    objects.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/objects/batch={number}")
+    cells.write.mode("overwrite").parquet(f"{path}/entries/batch={number}")
+    stored = _read(spark, f"{path}/objects/batch={number}")
+    delta = 0 if stored is None else stored.agg(F.sum("length")).first()[0] or 0
+    n = lambda *names: F.count_if(F.col("channel").isin(*names))
+    header = spark.read.parquet(f"{path}/entries/batch={number}").agg(
+        F.lit(VERSION).alias("version"), n("chunk", "entity", "savedData").alias("n_entries"), n("files").alias("n_files"), F.count_if("suspect").alias("n_suspect"),
+        F.count_distinct("hash").alias("n_hashes"), F.lit(delta).cast("long").alias("delta_bytes"), F.lit(files is not None).alias("read_files"),
+    )
+    header.write.mode("overwrite").parquet(f"{path}/headers/batch={number}")
+    for step in after:
+        step(spark, path, number)
+
+
+def start(changes: DataFrame, path: str, checkpoint: str, interval: str | None = None, **parts) -> StreamingQuery:
+    """Start writing snapshots of a streaming DataFrame (dim, pos, seq, hash, length; and channel, path) below ``path``; ``parts`` as for ``create``."""
+    writer = changes.writeStream.foreachBatch(lambda batch, number: create(batch, path, number, **parts)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def manifest(spark, path: str) -> DataFrame:
-    """The newest entry of each key over all snapshots that have a header."""
-    whole = spark.read.parquet(f"{path}/headers").select("batch")
-    entries = spark.read.parquet(f"{path}/entries").join(whole, "batch", "left_semi")
-    return entries.groupBy("dim", "pos").agg(F.max_by("hash", "batch").alias("hash"))
+def read_changes(spark: SparkSession, path: str, schema, files_a_batch: int | None = None, bytes_a_batch: str | None = None) -> DataFrame:
+    """A stream of changes out of files, so many a batch at most: a source that is ahead waits, and nothing is dropped."""
+    if files_a_batch and bytes_a_batch:
+        raise ValueError("a batch is bounded by files or by bytes")
+    reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    if bytes_a_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_a_batch)
+    return reader.parquet(path)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of snapshots that have a header."""
+    done = spark.read.parquet(f"{path}/headers").select("batch")
+    return spark.read.parquet(f"{path}/entries").join(done, "batch", "left_semi")
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of the latest snapshot: cells, saved data and the level file from whichever snapshot wrote them last, files of the last that read them."""
+    held, listed = _whole(spark, path), F.col("channel") == "files"
+    newest = held.where(~listed).groupBy(*KEY).agg(F.max_by(F.struct("hash", "suspect"), "batch").alias("last")).select(*KEY, "last.hash", "last.suspect")
+    last = spark.read.parquet(f"{path}/headers").where("read_files").agg(F.max("batch").alias("batch"))
+    return newest.unionByName(held.where(listed & (F.col("batch") == last.scalar())).select(*KEY, "hash", "suspect"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest entry (dim, pos, hash) of each cell of the chunk channel over all snapshots that have a header."""
+    cells = _whole(spark, path).where(F.col("channel") == "chunk")
+    return cells.groupBy("dim", "pos").agg(F.max_by("hash", "batch").alias("hash"))
 
 
 def gate(levels: DataFrame, group: str = "channel") -> DataFrame:
