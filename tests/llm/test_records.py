@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,18 +87,81 @@ def test_tree_matching_counts_nodes():
     assert len(html_text.match(a, b)) == 5  # root, div, p, ul, li
 
 
-def test_long_lists_match_like_short_ones(monkeypatch):
+def brute_weight(a, b):
+    """Simple tree matching as it is defined, by recursion over all pairs."""
+    if a.tag != b.tag:
+        return 0
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            table[i + 1][j + 1] = max(table[i][j] + brute_weight(x, y), table[i][j + 1], table[i + 1][j])
+    return 1 + table[-1][-1]
+
+
+def test_matching_is_as_large_as_brute_force():
     rng = random.Random(3)
-    pieces = ["<p>x</p>", "<h2>x</h2>", "<div><p>x</p><p>y</p></div>", "<div><h2>x</h2><ul><li>a<li>b</ul></div>", "<ul><li>a</ul>", "<table><tr><td>x</table>"]
-    page = lambda n: "<body>" + "".join(rng.choice(pieces) for _ in range(n)) + "</body>"
-    sources = [(page(rng.randrange(1, 40)), page(rng.randrange(1, 40))) for _ in range(30)]
-    pairs = lambda a, b: [[html_text.skeleton(x), x.number, y.number] for x, y in html_text.match(a, b)]
-    found = []
-    for cells in (html_text.MAX_CELLS, 0):
-        monkeypatch.setattr(html_text, "MAX_CELLS", cells)
-        trees = [tuple(html_text.from_skeleton(html_text.skeleton(html_text.parse(x))) for x in two) for two in sources]
-        found.append([pairs(*two) for two in trees])
-    assert found[0] == found[1]
+
+    def grow(depth):
+        node = html_text.Node(rng.choice("ab" if depth else "r"), None)
+        node.children = [grow(depth + 1) for _ in range(rng.randint(0, 4 if depth < 4 else 0))]
+        for c in node.children:
+            c.parent = node
+        return node
+
+    for _ in range(300):
+        a, b = grow(0), grow(0)
+        pairs = html_text.match(a, b)
+        assert len(pairs) == brute_weight(a, b)
+        of = {id(x): y for x, y in pairs}
+        assert len({id(y) for _, y in pairs}) == len(of) == len(pairs)
+        for x, y in pairs:  # one to one, of equal tags, in order, and below pairs only
+            assert x.tag == y.tag and (x.parent is None or of[id(x.parent)] is y.parent)
+            places = [y.children.index(of[id(c)]) for c in x.children if id(c) in of]
+            assert places == sorted(places)
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda k: "<html><body><div>Welcome</div>" + "<div>" * 10_000 + f"<p>Deep text {k}</p>"
+    items = lambda k: "<html><body><ul>" + "".join(f"<li>{'<p>' if (i * k) % 3 else ''}item {i * k}</li>" for i in range(5000)) + "</ul>"
+    rows = [(k, f"http://deep/{k}", deep(k)) for k in range(6)] + [(10 + k, f"http://long/{k}", items(k + 1)) for k in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Deep text {k}" for k in range(6))
+    for k in range(6):  # item 0 is the same everywhere
+        assert got[10 + k] == "\n\n".join(f"item {i * (k + 1)}" for i in range(1, 5000))
+
+
+def test_pages_without_a_host_have_no_wrapper(spark):
+    page = lambda k: f"<body><div>Same words</div><p>Text {k}</p></body>"
+    rows = [(k, (None, "", "not a url")[k % 3], page(k)) for k in range(30)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, f"Same words\n\nText {k}") for k in range(30)]
+
+
+def test_unmarked_pages_give_the_text_of_marked_ones(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+
+    def page():
+        menu = "".join(f'<li><a href="/x">{words(1)}</a></li>' for _ in range(rng.randint(3, 7)))  # its words differ from page to page
+        advert = f'<div class="ad">{words(6)}</div>' if rng.random() < 0.7 else ""
+        article = f"<h1>{words(5)}</h1>" + "".join(f"<p>{words(rng.randint(5, 60))}" + (f' <a href="/y">{words(2)}</a>' if rng.random() < 0.3 else "") + "</p>" for _ in range(rng.randint(6, 20)))
+        comments = "".join(f'<p>{words(4)}</p>' for _ in range(rng.randint(0, 3)))
+        return f'<html><body><header>Our site</header><nav><ul>{menu}</ul></nav>{advert}<article>{article}</article><div class="comments">{comments}</div><footer>All rights reserved</footer></body></html>'
+
+    marked = [page() for _ in range(20)]
+    plain = [re.sub(r' class="[a-z]+"', "", re.sub(r"<(/?)(article|nav|header|footer)>", r"<\1div>", x)) for x in marked]
+    rows = [(k, "http://marked/", x) for k, x in enumerate(marked)] + [(100 + k, "http://plain/", x) for k, x in enumerate(plain)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[100 + k] for k in range(20)] == [got[k] for k in range(20)]
+    assert [got[k].count("\n\n") for k in range(20)] == [x.split("</article>")[0].count("<p>") for x in marked]
+
+
+def test_the_main_slot_leaves_out_only_little():
+    tree = "body div ul li / / / div p / p / / div p / / /"  # 0 body, 1 div, 2 ul, 3 li, 4 div, 5 p, 6 p, 7 div, 8 p
+    seen = [(3, 0, 10, 90, 90), (5, 0, 10, 400, 0), (6, 0, 10, 400, 0), (8, 0, 9, 100, 0)]
+    assert html_text.induce(tree, 10, seen, 0.8) == ([], [1, 2, 3], 4)
+    assert html_text.induce(tree, 10, [*seen[:3], (8, 0, 9, 300, 0)], 0.8)[2] == 0  # more than a little: two parts of the content
+    assert html_text.induce(tree, 10, [(3, 9, 10, 9, 9)], 0.8) == ([3], [1, 2, 3], 0)
 
 
 def test_a_tag_that_moves_does_not_unalign_long_lists():
