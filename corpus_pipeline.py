@@ -26,8 +26,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that start anywhere else as well."""
-    return suffix_dedup.remove(docs)
+    """Texts without passages of over 50 words that stand anywhere else as well."""
+    # A passage is sought by strings of 160 bytes: in all languages of the corpus over 99.9 % of 51 words in a row are as long.
+    return suffix_dedup.remove(docs, suffix_dedup.Sizes(160), least_words=51)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

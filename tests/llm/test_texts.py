@@ -114,8 +114,18 @@ def test_fingerprints(spark):
         assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("chunk", [simhash.CHUNK, 8])
-def test_components_match_brute_force(spark, chunk, monkeypatch):
+def test_more_fingerprints_take_more_blocks():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**9, 3 * 10**10, 10**11)] == [6, 6, 6, 7, 8]
+    for blocks in (6, 7, 8):
+        masks = [m % (1 << 64) for m in simhash._masks(4, blocks)]
+        rng = random.Random(blocks)
+        for _ in range(200):  # wherever four bits differ, some key has none of them
+            differ = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not m & differ for m in masks)
+
+
+@pytest.mark.parametrize(("chunk", "blocks"), [(simhash.CHUNK, None), (8, 6), (simhash.CHUNK, 8)])
+def test_components_match_brute_force(spark, chunk, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = random.Random(7)
     fps = []
@@ -127,7 +137,7 @@ def test_components_match_brute_force(spark, chunk, monkeypatch):
     fps = sorted(set(fps), key=lambda _: rng.random())
     want = brute_components(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, blocks)
     got = dict(components.components(edges).collect())
     groups = defaultdict(set)
     for k, x in enumerate(signed):
@@ -162,7 +172,7 @@ def test_simhash_keeps_one_of_each_group(spark, documents):
 # --- Suffix sorting
 
 
-def brute_removed(texts, length=suffix_dedup.LENGTH):
+def brute_removed(texts, length=suffix_dedup.LENGTH, least_words=0):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
     out = []
@@ -172,33 +182,49 @@ def brute_removed(texts, length=suffix_dedup.LENGTH):
             if seen[d[k : k + length]] > 1:
                 covered[k : k + length] = True
         edges = np.diff(np.concatenate([[0], covered.astype(int), [0]]))
+        if least_words:
+            for a, z in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
+                covered[a:z] = z - a >= 400 or len(d[a:z].split()) >= least_words
+            edges = np.diff(np.concatenate([[0], covered.astype(int), [0]]))
         kept = bytes(np.frombuffer(d, "u1")[~covered])
-        out.append((len(d), int(covered.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((len(d), int(covered.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return out
 
 
-@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3])
-def test_removed_bytes_match_brute_force(spark, documents, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "length", "words"), [(suffix_dedup.CHUNK, 400, 0), (3, 400, 0), (3, 160, 40), (3, 37, 0)])
+def test_removed_bytes_match_brute_force(spark, documents, chunk, length, words, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_dedup, "SORTED", 20_000)
     rng = random.Random(11)
     shared, other = prose(rng, 150), prose(rng, 90)
     texts = [None, "", "short", "ab" * 600, "é" * 500, shared, shared[:399], shared[:400], shared[:401], shared[100:620]]
     texts += [prose(rng, rng.randint(0, 80)) + shared[rng.randint(0, 60) : 560 + rng.randint(0, 60)] + prose(rng, rng.randint(0, 80)) for _ in range(25)]
     texts += [prose(rng, 100) + other + prose(rng, 30) + other, "日本" + shared, shared]
-    got = suffix_dedup.measure(documents(texts)).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute_removed(texts)
+    got = suffix_dedup.measure(documents(texts), suffix_dedup.Sizes(length, sorted=20_000), words).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_removed(texts, length, words)
 
 
-def test_texts_longer_than_a_block(spark, documents, monkeypatch):
+def test_texts_longer_than_a_block(spark, documents):
     rng = random.Random(12)
-    long = prose(rng, 260_000, 90_000)
-    texts = [long, prose(rng, 50) + long[700_000:700_900] + prose(rng, 50)]
-    assert len(long.encode()) > suffix_dedup.BLOCK
-    got = suffix_dedup.measure(documents(texts)).orderBy("doc_id").collect()
+    long = prose(rng, 60_000, 90_000)
+    texts = [long, prose(rng, 50) + long[200_000:200_900] + prose(rng, 50)]
+    got = suffix_dedup.measure(documents(texts), suffix_dedup.Sizes(block=1 << 14)).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in got] == brute_removed(texts)
 
 
+def test_equal_rows_hold_their_spans_once(spark):
+    rng = random.Random(14)
+    shared = prose(rng, 120)
+    texts = [shared + prose(rng, 60), prose(rng, 40) + shared + prose(rng, 50), prose(rng, 600)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(7, texts[0] + texts[2])] * 3000 + [(None, texts[2])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spans = suffix_dedup._with_spans(docs, suffix_dedup.Sizes())
+    assert spans.agg(F.max(F.size("spans"))).first()[0] < 200
+    got = {(r.doc_id, r.n_bytes, r.n_removed): r.n for r in suffix_dedup.measure(docs).groupBy("doc_id", "n_bytes", "n_removed").agg(F.count("*").alias("n")).collect()}
+    brute = brute_removed([*texts, *[texts[0] + texts[2]] * 2, *[texts[2]] * 2])
+    want = {**{(k, *brute[k][:2]): 1 for k in range(3)}, (7, *brute[3][:2]): 3000, (None, *brute[5][:2]): 2}
+    assert got == want
+
+
 def test_remove_keeps_columns_and_rows(spark, documents):
     rng = random.Random(13)
     shared = prose(rng, 200)
@@ -228,17 +254,32 @@ def brute_hits(text, items, window=10):
     return len(ws), len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit)
 
 
-def test_hits_match_brute_force(spark, documents, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3000)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+@pytest.mark.parametrize(("block_bytes", "shard_bytes"), [(1 << 20, 1 << 20), (1 << 20, 100), (200, 1)])
+def test_hits_match_brute_force(spark, documents, block_bytes, shard_bytes):
     rng = random.Random(21)
     items = [(1, prose(rng, 30, 6)), (2, prose(rng, 12, 300)), (10, "Two Words"), (3, ""), (4, None), (None, prose(rng, 11, 50)), (2, "été 日本 w1"), (5, "w3")]
     whole = [t for _, t in items if t]
     texts = [None, "", "two-WORDS two words", "Été, 日本; w1!", whole[0] + " " + whole[0]]
-    texts += [prose(rng, rng.randint(0, 60), 6) + " " + " ".join(rng.choice(whole).split()[: rng.randint(1, 30)]) + " " + prose(rng, 20, 60) for _ in range(40)]
+    texts += [prose(rng, rng.randint(0, 60), 6) + " " + " ".join(rng.choice(whole).split()[: rng.randint(1, 30)]) + " " + prose(rng, 20, 60) for _ in range(400)]
+    ids = [*range(len(texts)), 9, None, None]
+    texts += [texts[9], texts[10], texts[10]]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.match(documents(texts), benchmark).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == [brute_hits(t, items) for t in texts]
+    assert (decontaminate.count_blocks(benchmark, block_bytes) > 1) == (block_bytes == 200)
+    got = decontaminate.match(documents(texts, ids), benchmark, 10, block_bytes, shard_bytes).collect()
+    want = [(i, *brute_hits(t, items)) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    left = decontaminate.remove(documents(texts, ids), benchmark, 10, block_bytes, shard_bytes)
+    assert left.count() == len(texts) and left.columns == documents([]).columns
+    again = decontaminate.match(documents(texts, ids), benchmark, 10).where("n_hit > 0").count()
+    assert again and {r.doc_id for r in left.collect() if r.text in (None, "")} >= {0, 1}
+
+
+def test_shards_are_cut_in_the_worker():
+    import pyarrow as pa
+
+    batches = [pa.record_batch([pa.array(["x" * 50] * 1000)], names=["text"])]
+    assert [t.num_rows for t in decontaminate._shards(iter(batches), 0, 3000)] == [200] * 5
+    assert [t.num_rows for t in decontaminate._shards(iter(batches), 0, 1 << 20)] == [1000]
 
 
 def test_spans_are_cut_out(spark, documents):
@@ -247,6 +288,8 @@ def test_spans_are_cut_out(spark, documents):
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     out = decontaminate.remove(docs, benchmark).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in out} == {(1, "Keep this. , and this.", 22), (1, None, None), (None, "alpha beta", 10)}
+    parted = decontaminate.remove(docs, benchmark.unionByName(benchmark), block_bytes=20).collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in parted} == {(r.doc_id, r.text, r.n_chars) for r in out}
     none = decontaminate.match(docs, benchmark.limit(0)).collect()
     assert [r.n_hit for r in none] == [0, 0, 0] and decontaminate.match(documents([]), benchmark).count() == 0
 

@@ -1,40 +1,47 @@
 """Repeated passages by suffix sorting with bucket-pointer refinement.
 
-Texts are UTF-8 bytes.  A byte is removed if it is covered by a ``LENGTH``-byte string
+Texts are UTF-8 bytes.  A byte is covered if it is part of a string of ``length`` bytes
 that starts at another place too, in the same text or another; matches never cross
-texts, and strings are judged on the input.
-
-*Dealing.*  In every string of LENGTH bytes one place is its anchor: that where the least
-hash of a ``GRAM``-byte piece begins (the first, if several).  Equal strings have equal
-anchors, so only the strings of equal anchor pieces need comparing; about one place in
-170 is an anchor.  The context of an anchor is all bytes of its strings.  Anchors go as
+texts, and strings are judged on the input.  A *passage* is a maximal run of covered bytes.
+``measure`` and ``remove`` take all of them out, or, with ``least_words``, those of so
+many words or ``LENGTH`` bytes (writing without spaces has long words).
+
+*Dealing.*  In every string of ``length`` bytes one place is its anchor: that where the least
+hash of a piece of ``Sizes.gram`` bytes begins (the first, if several).  Equal strings have equal
+anchors, so only the strings of equal anchor pieces need comparing; of strings of 400 bytes about
+one place in 170 is an anchor.  The context of an anchor is all bytes of its strings, at most
+``2 * length - gram``, however periodic a text is, for an anchor lies in all its strings.  Anchors go as
 a few numbers each to the task of their piece: pieces that come once are done with, and so
 are equal contexts (64-bit hashes beside those of the piece), all of whose strings repeat.
 Only pieces whose contexts differ have one context of each kind read.
 
 *Sorting.*  Contexts that share pieces are sorted together.  Places are first put into
-buckets of equal ``STEP``-byte pieces; then buckets are refined by sorting their places on
-the bucket identifiers ``STEP`` places later, those of the result again by its own
-identifiers twice as far on, and so on to LENGTH.  Places alone in their bucket
+buckets of equal q-grams (q is ``Sizes.step``); then buckets are refined by sorting their places on
+the bucket identifiers q places later, those of the result again by its own
+identifiers twice as far on, and so on to ``length``.  Places alone in their bucket
 drop out.  Two places in one last bucket begin equal strings.  (The first buckets go by a
-64-bit hash; a string is ``LENGTH / STEP`` of them, so that a false match takes a collision
+64-bit hash; a string is eight of them and more, so that a false match takes a collision
 between strings that are equal elsewhere.)
 
-*Hot pieces.*  A piece with more than ``CHUNK`` different contexts is sorted in chunks;
+*Hot pieces.*  A piece with more than ``CHUNK`` different contexts is sorted in chunks, of at most
+``CHUNK * (2 * length - gram)`` bytes (3 MB at 400), whatever the input;
 what a chunk does not settle goes on as packed hashes of strings, parted by hash, so
 that no task gets more than a chunk's worth, and no row is made for a string.
 
-Defined results: null and empty texts, and texts shorter than LENGTH, lose nothing (an
+Defined results: null and empty texts, and texts shorter than ``length``, lose nothing (an
 empty text's digest is that of no bytes); repeated rows and repeated or null doc_ids are
-rows like others, so a long enough repeated row loses everything; an empty table gives
+rows like others, so a long enough repeated row loses everything; the spans of n equal rows are
+kept once, not n times n; an empty table gives
 an empty result; ``remove`` carries other columns, ``measure`` ignores them.  Texts are
 read whole, at any length.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +52,36 @@ from pyspark.sql import types as T
 
 from varve.llm._shared import stash
 
-LENGTH, GRAM, STEP = 400, 64, 50
+LENGTH = 400
 #: Different contexts of a piece that are sorted together at most.
 CHUNK = 4096
 #: Bytes of texts hashed at once, and of contexts sorted at once.
 BLOCK, SORTED = 1 << 19, 2 << 20
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of the strings sought, and of the work on them; workers get it as an argument."""
+
+    length: int = LENGTH
+    block: int = BLOCK
+    sorted: int = SORTED
+
+    def __post_init__(self):
+        if self.length < 16:
+            raise ValueError("strings of fewer than 16 bytes are not sought")
+
+    @property
+    def gram(self) -> int:
+        """Bytes of an anchor's piece."""
+        return self.length * 4 // 25
+
+    @property
+    def step(self) -> int:
+        """Bytes of a q-gram."""
+        return self.length // 8
+
+
 _BITS = 22  # places in a block
 _MASK = np.uint64((1 << _BITS) - 1)
 
@@ -62,7 +94,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a base and of its inverse, modulo 2**64."""
     if which not in _powers or len(_powers[which][0]) < n:
-        size = max(n, BLOCK + LENGTH)
+        size = max(n, BLOCK + LENGTH)  # room for the usual block
         base = _BASES[which]
         _powers[which] = tuple(np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(size - 1, b, "u8")])) for b in (base, pow(base, -1, 1 << 64)))
     return tuple(x[:n] for x in _powers[which])
@@ -91,23 +123,23 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(from_right[: n - width + 1], from_left[width - 1 : n])
 
 
-def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: bytes, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """The anchors of texts laid end to end: (text, place, first string, last string, piece, context)."""
     array = np.frombuffer(data, "u1")
     ends = np.cumsum(sizes)
-    counts = np.maximum(sizes - LENGTH + 1, 0)
+    counts = np.maximum(sizes - length + 1, 0)
     if not counts.sum():
         return tuple(np.zeros(0, "i8") for _ in range(6))
-    piece = hashes(array, GRAM)
+    piece = hashes(array, gram)
     keys = (piece & ~_MASK) | np.arange(len(piece), dtype="u8")
-    least = (_least(keys, LENGTH - GRAM + 1) & _MASK).astype("i8")
+    least = (_least(keys, length - gram + 1) & _MASK).astype("i8")
     strings = np.arange(int(counts.sum())) + np.repeat(ends - sizes - (np.cumsum(counts) - counts), counts)
     at = least[strings]
     text = np.repeat(np.arange(len(sizes)), counts)
     begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     first, last = strings[begins], strings[np.append(begins[1:], len(strings)) - 1]
     digest = xxhash.xxh3_64_intdigest
-    context = np.array([digest(data[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], "u8").view("i8")
+    context = np.array([digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], "u8").view("i8")
     base = (ends - sizes)[text[begins]]
     return text[begins], at[begins] - base, first - base, last - base, piece[at[begins]].view("i8"), context
 
@@ -120,15 +152,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Texts of LENGTH bytes and more, together up to BLOCK bytes; longer ones in overlapping parts with their starts."""
+def _blocks(texts: list[bytes], of: Sizes) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Texts long enough, together up to a block of bytes; longer ones in overlapping parts with their starts."""
     which, starts, parts, size = [], [], [], 0
     for k, data in enumerate(texts):
-        if len(data) < LENGTH:
+        if len(data) < of.length:
             continue
-        for start in range(0, len(data) - LENGTH + 1, BLOCK):
-            part = data[start : start + BLOCK + LENGTH - 1]
-            if parts and size + len(part) > BLOCK + LENGTH:
+        for start in range(0, len(data) - of.length + 1, of.block):
+            part = data[start : start + of.block + of.length - 1]
+            if parts and size + len(part) > of.block + of.length:
                 yield which, starts, parts
                 which, starts, parts, size = [], [], [], 0
             which.append(k)
@@ -139,13 +171,13 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
         yield which, starts, parts
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_anchors(batches: Iterator[pa.RecordBatch], of: Sizes) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
             ids, text_hash = b.column(0), b.column(1)
-            for which, starts, parts in _blocks(b.column(2).to_pylist()):
-                text, place, first, last, piece, context = anchors(b"".join(parts), np.array([len(p) for p in parts]))
+            for which, starts, parts in _blocks(b.column(2).to_pylist(), of):
+                text, place, first, last, piece, context = anchors(b"".join(parts), np.array([len(p) for p in parts]), of.length, of.gram)
                 if not len(text):
                     continue
                 row = pa.array(np.array(which)[text])
@@ -155,18 +187,18 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-def refine(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, step: int = LENGTH // 8) -> np.ndarray:
     """For each place of contexts laid end to end, the bucket of its string; -1 where it is alone or passes the end.
 
     ``ends`` has for each place the end of its context.
     """
     n = len(data)
     bucket = np.full(n, -1, "i8")
-    places = np.flatnonzero(np.arange(n) + STEP <= ends)
-    bucket[places] = _number(hashes(data, STEP)[places]) if len(places) else 0
-    depth = STEP
-    while depth < LENGTH:
-        further = min(depth, LENGTH - depth)
+    places = np.flatnonzero(np.arange(n) + step <= ends)
+    bucket[places] = _number(hashes(data, step)[places]) if len(places) else 0
+    depth = step
+    while depth < length:
+        further = min(depth, length - depth)
         # Both halves have to be shared by others; what is alone drops out here.
         places = places[places + depth + further <= ends[places]]
         places = places[(bucket[places] >= 0) & (bucket[places + further] >= 0)]
@@ -212,30 +244,30 @@ def _spans_batch(doc_id: list, text_hash: np.ndarray, first: np.ndarray, last: n
     )
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], of: Sizes) -> Iterator[pa.RecordBatch]:
     """Rows (piece, chunk, chunks, times, doc_id, text_hash, first, bytes), sorted by piece and chunk, to rows of _FOUND."""
     held: list[tuple] = []
     size = 0
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if size >= SORTED and held[-1][:2] != row[:2]:
-                yield from _sort_block(held)
+            if size >= of.sorted and held[-1][:2] != row[:2]:
+                yield from _sort_block(held, of)
                 held, size = [], 0
             held.append(row)
             size += len(row[7])
     if held:
-        yield from _sort_block(held)
+        yield from _sort_block(held, of)
 
 
-def _sort_block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _sort_block(rows: list[tuple], of: Sizes) -> Iterator[pa.RecordBatch]:
     piece, _, chunks, times, doc_id, text_hash, first, contexts = zip(*rows, strict=True)
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), "u1")
     stops = np.cumsum(sizes)
     begins = stops - sizes
-    bucket = refine(data, np.repeat(stops, sizes))
+    bucket = refine(data, np.repeat(stops, sizes), of.length, of.step)
     # The strings of all units, one after another.
-    counts = sizes - LENGTH + 1
+    counts = sizes - of.length + 1
     unit = np.repeat(np.arange(len(rows)), counts)
     offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     place = begins[unit] + offset
@@ -249,7 +281,7 @@ def _sort_block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     many = np.array(chunks) > 1
     if not many.any():
         return
-    one, two = hashes(data, LENGTH, 0)[place], hashes(data, LENGTH, 1)[place]
+    one, two = hashes(data, of.length, 0)[place], hashes(data, of.length, 1)[place]
     pieces = np.array(piece, "i8")
     for p in np.unique(pieces[many]).tolist():
         mine = np.flatnonzero(pieces[unit] == p)
@@ -311,9 +343,9 @@ def _settle_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units["text_hash"][u]), pa.array(a), pa.array(z)], names=["doc_id", "text_hash", "first", "last"])
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
-    """Runs (doc_id, text_hash, first, last) of places where repeated strings start."""
-    found, _ = stash(_texts(docs).mapInArrow(_find_anchors, _ANCHOR), "anchors")
+def repeated_strings(docs: DataFrame, of: Sizes = Sizes()) -> DataFrame:
+    """Runs (doc_id, text_hash, first, last) of places where repeated strings start; those of equal rows may come more than once."""
+    found, _ = stash(_texts(docs).mapInArrow(functools.partial(_find_anchors, of=of), _ANCHOR), "anchors")
     # Aggregates are written before they are joined: Spark splits the hot keys of a join only if it deals out both sides for it.
     often, _ = stash(found.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece"), "repeated-pieces")
     repeated, _ = stash(found.join(often, "piece"), "repeated-anchors")
@@ -329,29 +361,34 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     unit = F.explode("units").alias("u")
     # Bytes are cut out here, so that only contexts are dealt out again.
     contexts = joined.select("doc_id", "text_hash", "data", unit).select(
-        "u.piece", "u.chunk", "u.chunks", "u.times", "doc_id", "text_hash", "u.first", F.expr(f"substring(data, cast(u.first + 1 as int), cast(u.last - u.first + {LENGTH} as int))").alias("bytes")
+        "u.piece", "u.chunk", "u.chunks", "u.times", "doc_id", "text_hash", "u.first", F.expr(f"substring(data, cast(u.first + 1 as int), cast(u.last - u.first + {of.length} as int))").alias("bytes")
     )
-    sorted_, _ = stash(contexts.repartition("piece", "chunk").sortWithinPartitions("piece", "chunk").mapInArrow(_sort_contexts, _FOUND), "sorted")
+    # Equal rows each bring the context that only one of them has to; their contexts come more than once, so others need no look.
+    contexts = contexts.where("times = 1").unionByName(contexts.where("times > 1").dropDuplicates(["piece", "chunk", "doc_id", "text_hash", "first"]))
+    dealt = contexts.repartition("piece", "chunk").sortWithinPartitions("piece", "chunk")
+    sorted_, _ = stash(dealt.mapInArrow(functools.partial(_sort_contexts, of=of), _FOUND), "sorted")
     span = ["doc_id", "text_hash", "first", "last"]
     packed = sorted_.where(F.col("packed").isNotNull()).select("piece", "part", "packed").repartition("piece", "part").sortWithinPartitions("piece", "part")
     return copies.unionByName(sorted_.where(F.col("packed").isNull()).select(span)).unionByName(packed.mapInArrow(_settle, "doc_id long, text_hash long, first long, last long"))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, of: Sizes) -> DataFrame:
     """The rows of ``docs`` as struct ``row``, with array ``spans`` of their repeated strings (null: none)."""
-    runs = repeated_strings(docs)
-    by_text = runs.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    runs = repeated_strings(docs, of)
+    # A set, so that the runs of n equal rows are held once and not n times by each.
+    by_text = runs.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    by_text, _ = stash(by_text, "spans")
     # The rows travel inside a struct, so that none of their names can clash.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
     joined = rows.join(by_text, rows["own_id"].eqNullSafe(by_text["span_id"]) & (rows["own_hash"] == by_text["span_hash"]), "left")
     return joined.select("row", "spans")
 
 
-def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merge(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs [begin, end) of covered bytes."""
     out: list[tuple[int, int]] = []
     for s in sorted(spans or [], key=lambda s: s["first"]):
-        begin, end = s["first"], s["last"] + LENGTH
+        begin, end = s["first"], s["last"] + length
         if out and begin <= out[-1][1]:
             out[-1] = out[-1][0], max(end, out[-1][1])
         else:
@@ -359,46 +396,63 @@ def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _passages(data: bytes, spans: list[dict] | None, length: int, least_words: int) -> list[tuple[int, int]]:
+    """The runs to take out of a text."""
+    runs = merge(spans, length)
+    if not least_words:
+        return runs
+    return [(a, z) for a, z in runs if z - a >= LENGTH or len(data[a:z].split()) >= least_words]
+
+
 def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for run in runs for x in run), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def measure(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; ``text`` is what is left, without characters of which a part is gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data, runs = text or b"", merge(spans)
-                rows.append((len(data), sum(z - a for a, z in runs), len(runs), hashlib.sha256(_cut(data, runs)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    rows = _with_spans(docs.select("doc_id", "text")).select("row.doc_id", F.col("row.text").cast("binary").alias("data"), "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove(docs: DataFrame) -> DataFrame:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                rows = []
+                for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    data = text or b""
+                    runs = _passages(data, spans, of.length, least_words)
+                    kept = _cut(data, runs) if runs else data
+                    rows.append((len(data), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+    rows = _with_spans(docs.select("doc_id", "text"), of).select("row.doc_id", F.col("row.text").cast("binary").alias("data"), "spans")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+
+
+def remove(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0) -> DataFrame:
     """``docs`` without their repeated passages; a character of which a part is removed goes too, and ``n_chars`` is made to fit."""
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
+    def kept(text: str | None, spans: list[dict] | None) -> str | None:
+        if not spans:
+            return text
+        data = text.encode()
+        runs = _passages(data, spans, of.length, least_words)
+        return _cut(data, runs).decode("utf-8", "ignore") if runs else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
                 columns, spans = b.column(0).flatten(), b.column(1).to_pylist()
                 old = columns[at].to_pylist()
-                new = [_cut(t.encode(), merge(s)).decode("utf-8", "ignore") if s else t for t, s in zip(old, spans, strict=True)]
+                new = [kept(t, s) for t, s in zip(old, spans, strict=True)]
                 columns[at] = pa.array(new, columns[at].type)
                 if count is not None:
-                    sizes = [len(t) if s else n for t, s, n in zip(new, spans, columns[count].to_pylist(), strict=True)]
+                    sizes = [n if t is o else len(t) for t, o, n in zip(new, old, columns[count].to_pylist(), strict=True)]
                     columns[count] = pa.array(sizes, columns[count].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(docs).mapInArrow(run, T.StructType(docs.schema.fields))
+    return _with_spans(docs, of).mapInArrow(run, T.StructType(docs.schema.fields))
