@@ -4,7 +4,7 @@ Letters A-Z are lower-cased; words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.  The
 a benchmark item are its sequences of ``window`` words; an item of fewer, but not
 none, is one window.  A document word inside any occurrence of a window is hit.
 
-A shard (``SHARD_BYTES`` of text, whole documents) becomes one sequence of word numbers.
+A shard (``shard_bytes`` of rows, whole documents) becomes one sequence of word numbers.
 Words that no item has are separators, and so are stretches shorter than the shortest
 window, for no window can occur there.  The sequence is indexed: suffix array by
 prefix doubling, its Burrows-Wheeler transform as a wavelet matrix, and the suffix
@@ -12,8 +12,12 @@ positions of every ``SAMPLE``-th place and of each stretch's first.  All windows
 backwards at once by ranks; occurrences are located by walking to sampled suffixes;
 overlapping ones merge into spans.
 
-The benchmark is read in blocks of ``BLOCK_BYTES``, a checked bound; each block is
-broadcast and searched in every shard, so documents are read once, without a shuffle.
+The size of the benchmark is asked for first.  If it is one block of at most ``block_bytes``
+its patterns (arrays of at most some 15 times its bytes) are broadcast, and documents are read once, without a shuffle.  A larger one is cut into
+blocks by the sizes of its items (an item past the bound is a block of its own); for each the
+documents are read again, one block at a time is held by the driver and by a worker, and only
+the spans and items of the texts that are hit are shuffled, to be merged.  So no broadcast grows with the
+benchmark, whose size the passes grow with instead.
 
 Defined results: null texts have no words; null item_ids mark words but name no item;
 repeated items and rows count as they are (an item_id is named once a document);
@@ -23,6 +27,7 @@ are carried by ``remove`` and ignored else.  Documents are searched whole, at an
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -31,11 +36,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 8 << 20
+from varve.llm._shared import stash
+
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 24 << 20
 SAMPLE = 8
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -48,19 +56,28 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Patterns:
-    """The different windows of a block of items, as word numbers by length, and the items of each."""
+    """The different windows of a block of items, as word numbers by length, and the items of each; arrays but for the words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[k : k + window]), set()).update([] if item_id is None else [item_id])
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(w) for w in owners}):
-            some = [w for w in owners if len(w) == n]
-            self.by_length[n] = np.array(some, "i8"), [sorted(owners[w]) for w in some]
+        self.names = sorted({name for name, _ in items if name is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        windows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for name, text in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(text)], "i4")
+            n = min(len(ids), window)
+            if n:
+                mine = np.lib.stride_tricks.sliding_window_view(ids, n)
+                windows.setdefault(n, []).append(mine)
+                owners.setdefault(n, []).append(np.full(len(mine), number.get(name, -1)))
+        #: By length: the windows, where the items of each begin, and the items (numbers of ``names``).
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(windows):
+            different, which = np.unique(np.concatenate(windows.pop(n)), axis=0, return_inverse=True)
+            of = np.unique(np.column_stack([which.ravel(), np.concatenate(owners.pop(n))]), axis=0)
+            of = of[of[:, 1] >= 0]
+            self.by_length[n] = different, np.searchsorted(of[:, 0], np.arange(len(different) + 1)), of[:, 1]
 
 
 class FMIndex:
@@ -131,39 +148,42 @@ class FMIndex:
         return self.samples[rows] + steps
 
 
-def find(texts: list[str | None], patterns: list[Patterns]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+def find(texts: list[str | None], patterns: Patterns) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """For each text of a shard: its number of words, its hit spans of words, and the items that occur."""
     words = [split_words(t) for t in texts]
     begins = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype("i8")
+    out: list[tuple[int, list[tuple[int, int]], list[str]]] = [(len(w), [], []) for w in words]
+    if not patterns.by_length:
+        return out
+    ids = np.zeros(int(begins[-1]), "i8")
+    for w, at in zip(words, begins.tolist(), strict=False):
+        ids[at : at + len(w)] = np.fromiter(map(patterns.vocabulary.get, w, repeat(0)), "i8", len(w))
+    place, text = _stretches(ids, min(patterns.by_length))
+    if not len(text):
+        return out
     covered = np.zeros(int(begins[-1]) + 1, "i8")
-    named: list[set[str]] = [set() for _ in texts]
-    for block in patterns:
-        if not block.by_length:
-            continue
-        ids = np.zeros(int(begins[-1]), "i8")
-        for w, at in zip(words, begins.tolist(), strict=False):
-            ids[at : at + len(w)] = np.fromiter(map(block.vocabulary.get, w, repeat(0)), "i8", len(w))
-        place, text = _stretches(ids, min(block.by_length))
-        if not len(text):
-            continue
-        index = FMIndex(text, len(block.vocabulary) + 1)
-        for length, (windows, owners) in block.by_length.items():
-            low, high = index.search(windows)
-            counts = high - low
-            which = np.repeat(np.arange(len(windows)), counts)
-            rows = np.repeat(low, counts) + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = place[index.locate(rows)]
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + length, -1)
-            docs = np.searchsorted(begins, at, side="right") - 1
-            for doc, k in set(zip(docs.tolist(), which.tolist(), strict=True)):
-                named[doc].update(owners[k])
+    index = FMIndex(text, len(patterns.vocabulary) + 1)
+    owned: list[np.ndarray] = []
+    for length, (windows, first, items) in patterns.by_length.items():
+        low, high = index.search(windows)
+        counts = high - low
+        which = np.repeat(np.arange(len(windows)), counts)
+        rows = np.repeat(low, counts) + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = place[index.locate(rows)]
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + length, -1)
+        docs = np.searchsorted(begins, at, side="right") - 1
+        pairs = np.unique(np.column_stack([docs, which]), axis=0)
+        n = first[pairs[:, 1] + 1] - first[pairs[:, 1]]
+        item = items[np.arange(int(n.sum())) + np.repeat(first[pairs[:, 1]] - (np.cumsum(n) - n), n)]
+        owned.append(np.column_stack([np.repeat(pairs[:, 0], n), item]))
+    for doc, item in np.unique(np.concatenate(owned), axis=0).tolist():
+        out[doc][2].append(patterns.names[item])
     edges = np.diff(np.concatenate([[0], (np.cumsum(covered) > 0).astype("i1"), [0]]))
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         doc = int(np.searchsorted(begins, a, side="right")) - 1
-        spans[doc].append((a - int(begins[doc]), b - int(begins[doc])))
-    return [(len(w), s, sorted(n)) for w, s, n in zip(words, spans, named, strict=True)]
+        out[doc][1].append((a - int(begins[doc]), b - int(begins[doc])))
+    return out
 
 
 def _stretches(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,20 +198,33 @@ def _stretches(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     return place, ids[place]
 
 
-def read_benchmark(benchmark: DataFrame, window: int) -> list:
-    """Broadcast patterns of the benchmark, a block of bounded size at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(total / BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n > 1 else F.lit(0)
-    out = []
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
+
+
+def count_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks the benchmark has to be dealt, so that none but with a single item passes the bound, or nearly so."""
+    total = _items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 if total <= block_bytes else math.ceil(total / (block_bytes / 2))
+
+
+def read_blocks(benchmark: DataFrame, n: int, window: int, block_bytes: int) -> Iterator[Patterns]:
+    """The patterns of each block, one after another; a block that came out too large is cut further."""
+    items = _items(benchmark)
     for k in range(n):
-        rows = items.where(block == k).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Patterns([(r.item_id, r.text) for r in rows], window)))
-    return out
+        held, size = [], 0
+        for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator():
+            more = len(r.text.encode("utf-8", "surrogatepass"))
+            if held and size + more > block_bytes:
+                yield Patterns(held, window)
+                held, size = [], 0
+            held.append((r.item_id, r.text))
+            size += more
+        if held:
+            yield Patterns(held, window)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+def _shards(batches: Iterator[pa.RecordBatch], column: int, shard_bytes: int) -> Iterator[pa.Table]:
     """The rows of a task, a shard at a time."""
     held, size = [], 0
     for whole in batches:
@@ -199,36 +232,84 @@ def _shards(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table
             b = whole.slice(at, 200)
             held.append(b)
             size += b.column(column).nbytes
-            if size >= SHARD_BYTES:
+            if size >= shard_bytes:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def _hits_of(docs: DataFrame, patterns: Broadcast, shard_bytes: int) -> DataFrame:
+    """(doc_id, text_hash, spans, items) of the rows of ``docs`` (doc_id, text_hash, text) that one block hits."""
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, 2, shard_bytes):
+            found = find(shard.column(2).to_pylist(), patterns.value)
+            hit = shard.select([0, 1]).filter(pa.array([bool(s) for _, s, _ in found]))
+            found = [x for x in found if x[1]]
+            hit = hit.append_column("spans", pa.array([[{"begin": a, "end": b} for a, b in s] for _, s, _ in found], span))
+            yield from hit.append_column("items", pa.array([x for _, _, x in found], pa.list_(pa.string()))).to_batches(max_chunksize=1000)
+
+    return docs.mapInArrow(run, "doc_id long, text_hash long, spans array<struct<begin:int,end:int>>, items array<string>")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, shard_bytes: int) -> tuple[DataFrame, Broadcast | None]:
+    """The rows of ``docs`` as struct ``row`` with their ``spans`` and ``items``; or, with the patterns of the only block, without: they are found by ``_hits``."""
+    spark, n = docs.sparkSession, count_blocks(benchmark, block_bytes)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    broadcast = spark.sparkContext.broadcast
+    if n == 1:
+        return docs.select(row), broadcast(next(read_blocks(benchmark, 1, window, block_bytes), Patterns([], window)))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    parts = []
+    for patterns in read_blocks(benchmark, n, window, block_bytes):
+        held = broadcast(patterns)
+        parts.append(stash(_hits_of(texts, held, shard_bytes), "hits")[0])
+        held.unpersist()
+    hits = functools.reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    # Sets, so that equal rows bring their hits once.  Written, so that Spark can split hot keys of the join.
+    merged = hits.agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    merged, _ = stash(merged, "merged-hits")
+    rows = docs.select(row, docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
+    return rows.join(merged, rows["own_id"].eqNullSafe(merged["hit_id"]) & (rows["own_hash"] == merged["hit_hash"]), "left").select("row", "spans", "items"), None
+
+
+def _hits(shard: pa.Table, texts: list[str | None], patterns: Broadcast | None) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """Words, hit spans and items of the rows of a shard."""
+    if patterns is not None:
+        return find(texts, patterns.value)
+    spans, items = shard.column("spans").to_pylist(), shard.column("items").to_pylist()
+    return [(len(split_words(t)), merge(s), sorted(i or [])) for t, s, i in zip(texts, spans, items, strict=True)]
+
+
+def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Spans of words in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((s["begin"], s["end"]) for s in spans or []):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((begin, end))
+    return out
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    blocks = read_benchmark(benchmark, window)
+    rows, patterns = _search(docs.select("doc_id", "text"), benchmark, window, block_bytes, shard_bytes)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [b.value for b in blocks]
-        for shard in _shards(batches, 1):
-            found = find(shard.column(1).to_pylist(), patterns)
+        for shard in _shards(batches, 0, shard_bytes):
+            ids, texts = shard.column(0).combine_chunks().flatten()
+            found = _hits(shard, texts.to_pylist(), patterns)
             hit = [sum(b - a for a, b in s) for _, s, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    shard.column(0).combine_chunks() if shard.num_rows else pa.array([], pa.int64()),
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x) for _, _, x in found], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for _, _, x in found], pa.string()),
-                    pa.array([h > 0 for h in hit], pa.bool_()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for _, _, x in found]
+            columns = [n for n, _, _ in found], hit, [len(x) for _, _, x in found], digests, [h > 0 for h in hit]
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -243,22 +324,22 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with what occurs in the benchmark cut out of ``text``, and ``n_chars`` (if there) made to fit."""
-    blocks = read_benchmark(benchmark, window)
     names, at = docs.columns, docs.columns.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
+    rows, patterns = _search(docs, benchmark, window, block_bytes, shard_bytes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [b.value for b in blocks]
-        for shard in _shards(batches, at):
-            texts = shard.column(at).to_pylist()
-            new = [t if t is None else cut(t, s) for t, (_, s, _) in zip(texts, find(texts, patterns), strict=True)]
-            out = shard.set_column(at, names[at], pa.array(new, shard.schema.field(at).type))
+        for shard in _shards(batches, 0, shard_bytes):
+            columns = shard.column(0).combine_chunks().flatten()
+            old = columns[at].to_pylist()
+            new = [t if t is None or not s else cut(t, s) for t, (_, s, _) in zip(old, _hits(shard, old, patterns), strict=True)]
+            columns[at] = pa.array(new, columns[at].type)
             if count is not None:
-                kind = shard.schema.field(count).type
-                old = shard.column(count).to_pylist()
-                out = out.set_column(count, names[count], pa.array([o if a == b else len(b) for o, a, b in zip(old, texts, new, strict=True)], kind))
-            yield from out.to_batches(max_chunksize=1000)
+                sizes = [n if x is y else len(y) for n, x, y in zip(columns[count].to_pylist(), old, new, strict=True)]
+                columns[count] = pa.array(sizes, columns[count].type)
+            yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=1000)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
