@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 #: Longer pieces are rare and not worth remembering.
 MAX_PIECE_CHARS = 40
 #: Pieces are encoded this many at a time.
 AT_ONCE = 4096
 #: Bytes of texts that callers had best pass at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # Letters of which no Unicode version doubts that they are, and the ASCII marks.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -192,3 +192,4 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES):
         stop = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
+    pa.default_memory_pool().release_unused()
