@@ -2,15 +2,16 @@
 
     files.write.format("varve_files").mode("append").save(folder)
 
-Each executor writes its rows through the file system that the folder's URI names (local, HDFS, S3, GCS).  A file
-appears under its name in one move, whole or not at all, and a task that is run again writes the
-same bytes once more, so lost executors leave neither gaps nor halves.
+Each executor writes its rows through the file system that the folder's URI names (local, HDFS, S3, GCS), under names that
+no reader looks for.  When all tasks have ended, the files of those attempts that counted are moved to their names, each whole
+or not at all; what other attempts wrote is deleted.  So lost executors leave neither gaps, nor halves, nor files twice.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,13 @@ from pyspark.sql.types import StructType
 SCHEMA = "path string, content binary"
 
 
+#: Files moved to their names at once.
+AT_ONCE = 16
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
-    size: int
+    moves: list[tuple[str, str]]
 
 
 def target(root: str, path: str) -> str:
@@ -36,13 +40,13 @@ def target(root: str, path: str) -> str:
 
 class FileWriter(DataSourceWriter):
     def __init__(self, root: str):
-        self.root = root
+        self.root, self.job = root, uuid.uuid4().hex
 
     def write(self, iterator: Iterator) -> Written:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(self.root)
-        n = size = 0
+        moves: list[tuple[str, str]] = []
         made: set[str] = set()
         for row in iterator:
             place = target(base, row.path)
@@ -50,24 +54,33 @@ class FileWriter(DataSourceWriter):
             if folder not in made:
                 system.create_dir(folder, recursive=True)
                 made.add(folder)
-            fresh = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
-            content = bytes(row.content)
-            try:
-                with system.open_output_stream(fresh) as out:
-                    out.write(content)
-                system.move(fresh, place)
-            except BaseException:
-                if system.get_file_info(fresh).type != fs.FileType.NotFound:
-                    system.delete_file(fresh)
-                raise
-            n, size = n + 1, size + len(content)
-        return Written(n, size)
+            fresh = f"{folder}/.{name}.{self.job}.{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(fresh, compression=None) as out:  # the bytes as they are, whatever the name
+                out.write(bytes(row.content))
+            moves.append((fresh, place))
+        return Written(moves)
 
     def commit(self, messages: list) -> None:
-        """Nothing is left to do: every file is in its place."""
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.root)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(lambda x: system.move(*x), [x for m in messages if m is not None for x in m.moves]))
+        self._tidy(system)
 
     def abort(self, messages: list) -> None:
-        """What was written stays; a restore that failed is run again or its backup moved back."""
+        from pyarrow import fs
+
+        self._tidy(fs.FileSystem.from_uri(self.root)[0])
+
+    def _tidy(self, system) -> None:
+        """Delete what attempts that did not count have left."""
+        from pyarrow import fs
+
+        base = fs.FileSystem.from_uri(self.root)[1]
+        for found in system.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
+            if f".{self.job}." in found.base_name and found.base_name.endswith(".tmp"):
+                system.delete_file(found.path)
 
 
 class FileSink(DataSource):
