@@ -6,9 +6,13 @@ by XXH64 (seed 42; a text of fewer words is one sequence).  A bit of the fingerp
 1 if it is set in more than half the hashes; a text without words has fingerprint 0.
 
 Two fingerprints that differ in at most ``distance`` bits agree on at least
-``BLOCKS - distance`` of ``BLOCKS`` blocks.  Each different fingerprint is dealt out
+n - ``distance`` of n blocks.  Each different fingerprint is dealt out
 once for every choice of so many blocks, keyed by their bits; equal keys meet in a
 task, which checks Hamming distances.  Copies share a fingerprint and meet nobody.
+Every n finds every pair; ``blocks_for`` takes the one that costs least for the number of different
+fingerprints, as more blocks make longer keys, which fewer share by chance, but more of them.
+At a distance of 4, 6 blocks are 15 keys of 21 bits, 7 are 35 of 27 and 8 are 70 of 32; 6 are taken up to 1.5 * 10^9
+fingerprints and 7 up to 9 * 10^10.  Of 3 * 10^10 a key then holds 170 by chance, where with 6 blocks it would hold 11,000.
 Within a key, links become a forest: what is already connected is not compared
 again, and dense groups give as many edges as they have members.  A key with more than
 ``CHUNK`` fingerprints is dealt as pairs of chunks to different tasks, so every pair
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 from varve.llm._shared import stash
 from varve.llm.components import components
 
-BLOCKS = 6
+#: What it costs to deal out a key, in comparisons of two fingerprints.
+DEALING = 400
 SEED = 42
 CHUNK = 16_384
 #: Runs up to this length are compared all at once.
@@ -70,11 +76,21 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def _masks(distance: int) -> list[int]:
+def blocks_for(fingerprints: int, distance: int) -> int:
+    """The number of blocks with which finding all pairs among so many different fingerprints costs least."""
+
+    def cost(blocks: int) -> float:
+        bits = 64 * (blocks - distance) / blocks
+        return comb(blocks, distance) * (DEALING + fingerprints / 2**bits)
+
+    return min(range(distance + 2, distance + 7), key=cost)  # one block alone is too often the same in like texts
+
+
+def _masks(distance: int, blocks: int) -> list[int]:
     """The bits of each choice of blocks on which close fingerprints can agree."""
-    edges = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
-    block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(BLOCKS)]
-    masks = [sum(chosen) for chosen in combinations(block, BLOCKS - distance)]
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    masks = [sum(chosen) for chosen in combinations(block, blocks - distance)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -93,11 +109,14 @@ def _forest(fps: np.ndarray, distance: int) -> Iterator[np.ndarray]:
             yield np.concatenate(group)
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) between different fingerprints (column fp) that connect whatever links within ``distance`` connect."""
-    if not 0 <= distance < BLOCKS:
-        raise ValueError(f"distance must be 0 to {BLOCKS - 1}")
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks(distance))])
+    if not 0 <= distance <= 8:
+        raise ValueError("distance must be 0 to 8")
+    if blocks is not None and blocks <= distance:
+        raise ValueError("there must be more blocks than bits that may differ")
+    blocks = blocks or blocks_for(fps.count(), distance)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks(distance, blocks))])
     dealt = fps.select("fp", F.explode(keys).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     hot, _ = stash(sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "hot-keys")
