@@ -18,10 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of this application inside ``spark.checkpoint.dir``.
 
     That setting names the storage which all executors share.  Only where it
-    is unset (tests on one machine) is it set here, to a new local folder.
+    is unset on one machine (tests) is it set here, to a new local folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="varve-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/varve-{spark.sparkContext.applicationId}"
