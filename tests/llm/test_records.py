@@ -220,6 +220,48 @@ def test_archives_round_trip(spark):
     assert {r.record_type for r in warc.convert_pages(pages, min_bytes=10**6).collect()} == {"response"} and warc.convert_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_match_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    bodies = ["", "x" * 40, *["".join(rng.choices("ab<>\r\n é", k=rng.randint(1, 300))) for _ in range(40)], "big " * 100_000]
+    rows = [(rng.choice([None, *range(200)]), f"http://h/{k % 7}", rng.choice([None, *bodies])) for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path, min_bytes=1, file_bytes=20_000)
+    got = sorted((r.page_id if r.page_id is not None else -1, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to or -1) for r in warc.read_archives(spark, path).collect())
+    newest = {}
+    for i, _, html in rows:
+        if i is not None:
+            newest[html or ""] = max(i, newest.get(html or "", -1))
+    want = []
+    for i, _, html in rows:
+        payload = html or ""
+        again = i is not None and payload and newest[payload] > i
+        want.append((-1 if i is None else i, warc.digest(payload.encode()), len(payload.encode()), "revisit" if again else "response", newest[payload] if again else -1))
+    assert got == sorted(want)
+    sizes = [os.path.getsize(tmp_path / "warc" / f) for f in os.listdir(tmp_path / "warc")]
+    assert len(sizes) > 4 and max(sizes) < 30_000 and not [f for f in os.listdir(tmp_path / "warc") if not re.fullmatch(r"part-\d{6}-\d{5}\.warc\.gz", f)]
+
+
+def test_arc_archives_state_their_version(spark, tmp_path):
+    import gzip
+
+    records = {v: [warc.ArcRecord(v, f"http://a/{v}/{k}", "1.2.3.4", "20010203040506", "text/html", b"<p>%d\n" % k) for k in range(30)] for v in (1, 2)}
+    (tmp_path / "arcs").mkdir()
+    for v, name in ((1, "one.arc"), (2, "two.arc.gz")):
+        parts = [warc.write_filedesc(v, "20010203", name), *map(warc.write_arc, records[v])]
+        (tmp_path / "arcs" / name).write_bytes(b"".join(map(gzip.compress, parts)) if name.endswith("gz") else b"".join(parts))
+        assert warc.arc_version(parts[0]) == v
+    warc.convert_arcs(spark, f"file://{tmp_path}/arcs", f"file://{tmp_path}/warc", file_bytes=500)
+    got = warc.read_archives(spark, f"file://{tmp_path}/warc").collect()
+    assert sorted((r.url, bytes(r.block)) for r in got if r.record_type == "response") == sorted((r.url, r.payload) for v in records for r in records[v])
+    assert sorted(r.url for r in got if r.record_type == "warcinfo") == ["filedesc://one.arc", "filedesc://two.arc.gz"]
+    for bad in (b"http://a 1 2 3 4\n", b"filedesc://x 0 0 t 5\n9 0 x\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(bad))
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.members(gzip.compress(b"abc" * 100)[:-9]))
+
+
 # --- Tokens
 
 
