@@ -4,6 +4,11 @@ Each stage takes all that the one before kept, as Parquet, and its decisions tak
 effect: rejected documents go, one document of each near-duplicate group stays,
 repeated passages and benchmark passages are cut out of the texts, and what is left is
 packed.  All stages but the last return the columns of ``documents``.
+
+Defined results: null, empty and other texts that the base counts reject go in the first stage, repeated rows become one
+in the second, and a document of which nothing is left is packed as its end id; columns beyond those of ``documents`` are
+carried up to the last stage, whatever their names; an empty table gives an empty result.  What a stage has read is deleted from
+the shared folder once the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.llm import decontaminate, packing, quality, simhash, suffix_dedup
-from varve.llm._shared import stash, table
+from varve.llm._shared import discard, scratch, stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = stash(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            docs, path = stash(stage(spark, docs, sf_dir), name)
+            keep(path)
+        discard(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

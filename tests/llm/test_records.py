@@ -398,7 +398,9 @@ def test_pipeline_stages(spark, tmp_path):
     common = "the of and to a in is that it for".split()
     prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("etaoinshr", k=6)) for _ in range(n))
     clean = [prose(rng.randint(60, 900)) for _ in range(60)]
-    passage, item = prose(150), prose(40)
+    # A passage of 51 short words has 250 bytes or so.
+    passage, item = " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("etaoinshr", k=5)) for _ in range(51)), prose(40)
+    assert 160 < len(passage) < 400
     texts = [*clean, clean[0], clean[1].replace("the", "of", 1), "junk $$$ %%% " * 3, None, prose(200) + " " + passage, prose(300) + " " + passage, prose(100) + " " + item + " " + prose(100)]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
@@ -423,6 +425,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert {(r.doc_id, r.ids_crc32) for r in packed if r.piece == 0} == want
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, kept boolean, whole int, fp string, row string"
+    spark.createDataFrame([(1, "item words " * 10)], "item_id long, text string").write.parquet(f"file://{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/b/benchmark.parquet")
+    rng = random.Random(9)
+    text = " ".join(rng.choices("the of and to a in is that it for on with as by".split(), k=300))
+    awkward = [(None, text, None, None, None, "x", True, 1, "y", "z"), (1, None, "en", "s", None, None, None, None, None, None), (2, "", "en", "s", 0, "x", False, 2, "y", "z"), (None, text, None, None, None, "x", True, 1, "y", "z")]
+    for folder, rows in (("a", awkward), ("b", []), ("b2", [(k, None, None, None, None, None, None, None, None, None) for k in range(5)])):
+        base = folder[0]
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"file://{tmp_path}/{base}/documents.parquet")
+        packed = corpus_pipeline.run(spark, f"file://{tmp_path}/{base}")
+        assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        docs = spark.read.parquet(f"file://{tmp_path}/{base}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, f"file://{tmp_path}/{base}").collect(), schema)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert packed.count() == docs.count() == (1 if folder == "a" else 0)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_queries_with_sql_match_it(spark):
     import duckdb

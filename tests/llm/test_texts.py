@@ -46,6 +46,44 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert {(r.doc_id, r.number, r.sentence) for r in toxicity.locate(docs, model).collect()} == {(1, 1, "w3 scum w4")}
 
 
+def test_scores_are_noisy_or_of_sentences(spark, documents):
+    model = toxicity.Model({"bad": 3.0, "worse": 5.0, "ba-": 0.5, "fine": -1.0}, -4.0)
+
+    def brute(text):
+        clean = 1.0
+        for s in re.split(r"[.!?\n]+", text or "") if (text or "").strip(" .!?\n") else [""]:
+            if s.strip() or not (text or "").strip(" .!?\n"):
+                z = -4.0
+                for w in set(re.findall(r"[^\W\d_]+", s.lower())):
+                    z += {"bad": 3.0, "worse": 5.0, "fine": -1.0}.get(w, 0.0) + 0.0
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    long = "fine day. " * 30_000 + "the worse bad. " + "ok "
+    texts = [None, "", " . ", "Bad", "bad bad. Worse!\nfine fine", "a1bad_worse", long, "x" * 100_000]
+    got = {r.doc_id: r for r in toxicity.score(documents(texts).withColumn("toxic", F.lit(1)), model).collect()}
+    for k, t in enumerate(texts):
+        assert abs(got[k].score - brute(t)) < 1e-9 and got[k].predicted == (got[k].score >= 0.5)
+    assert [r.number for r in toxicity.locate(documents(texts), model).where("doc_id = 4").collect()] == [1]
+    assert toxicity.score(documents([]), model).count() == 0
+
+
+def test_held_out_labels_and_other_columns_teach_nothing(spark, documents):
+    import zlib
+
+    rows = toxic_rows(random.Random(3), 400)
+    docs = documents([t for t, _ in rows])
+    labels = [(k, y, "clash") for k, (_, y) in enumerate(rows)]
+    out = [k for k in range(len(rows)) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert {r.doc_id for r in toxicity.score(docs, toxicity.Model()).where("held_out").collect()} == set(out)
+    table = lambda some: spark.createDataFrame(some, "doc_id long, toxic int, text string")
+    first = toxicity.train(docs, table(labels))
+    turned = toxicity.train(docs.withColumn("lang", F.lit("zz")).withColumn("source", F.col("doc_id").cast("string")), table([(k, 1 - y if k in out else y, "other") for k, y, _ in labels]))
+    assert first.weights == turned.weights and first.bias == turned.bias and first.weights
+    sampled = toxicity.sample(docs, table(labels + [(None, 1, ""), (1, None, ""), (2, 7, "")]), toxicity.Fitting(sample=100)).collect()
+    assert len(sampled) == 100 and {r.text for r in sampled} <= {rows[k][0] for k in range(len(rows)) if k not in out}
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     model = toxicity.fit([("a b", 0)])
     assert not model.weights and 0 < toxicity.document_score("a b. c", model) < 0.5

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,14 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Delete at the end what was written inside, but for the paths that the function it gives was called with."""
+    before, kept = set(_written), set()
+    yield kept.add
+    discard(spark, *(set(_written) - before - kept))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that no later read needs."""
     jvm = spark.sparkContext._jvm

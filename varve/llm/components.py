@@ -7,6 +7,9 @@ nodes shrinks by a constant factor a round.  Each round is written to the shared
 folder.  The least neighbour is an aggregate, which is combined before the shuffle, and
 renaming is a join with a table of unique keys, whose large side Spark splits, so nodes
 with very many edges hold up nothing.
+
+Defined results: rows with a null end are no edges; an edge from a node to itself makes no component; repeated and
+reversed edges are one; no edges give an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ REST = 16_000
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node that has an edge in ``edges`` (a, b: longs); nodes of a component share a label."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both, _ = stash(both, "edges")
     maps = []
     while both.count() > 2 * REST:

@@ -21,7 +21,7 @@ in the task that reads it.  The references are written to the shared folder, so
 Spark knows their size and broadcasts them only if they are small.
 
 Defined results: a null text has no words (base_failed, not kept); null languages
-are a language of their own; repeated rows are all judged and all count in the
+count as the empty one, which is a language like others; repeated rows are all judged and all count in the
 references; ties between common words go by the word; an empty table gives an empty
 result; the columns ``doc_id``, ``text`` and ``lang`` are used and others ignored.
 Texts are judged whole, at any length.
