@@ -120,6 +120,26 @@ def test_packs_are_a_source_and_objects_are_found(spark, tmp_path):
     assert [r.hash for r in scan.in_hash_order(objects.select("hash")).collect()] == sorted(h.hex() for h, _ in records[:-1])
 
 
+def test_manifests_are_written_and_read_again(spark, store, tmp_path):
+    _, headers, entries, _ = store
+    full = headers.selectExpr("snapshot_id", "5L AS created_ms", "CAST(NULL AS LONG) AS world_game_time", "IF(snapshot_id = 's1', '0a', NULL) AS level_dat", "7L AS total_unique_bytes", "1L AS delta_bytes", "baseline_complete", "snapshot_id = 's2' AS incomplete")
+    hexed = entries.withColumn("hash", F.hex(F.col("hash").cast("binary")))
+    manifests.write_manifests(full, hexed.where("snapshot_id <> 's3'"), f"{tmp_path}/m")
+    read = {r.snapshot_id: r for r in manifests.read_headers(spark, f"file://{tmp_path}/m").collect()}
+    assert [(read[s].readable, read[s].level_dat, read[s].baseline_complete, read[s].incomplete, read[s].created_ms, read[s].world_game_time) for s in ("s1", "s2", "s3")] == [(True, "0a", True, False, 5, 0), (True, None, True, True, 5, 0), (True, None, False, False, 5, 0)]
+    want = {tuple(r) for r in hexed.where("snapshot_id <> 's3' AND channel <> 'levelDat'").withColumn("hash", F.lower("hash")).collect()}
+    assert {tuple(r) for r in manifests.read_entries(spark, f"file://{tmp_path}/m").collect()} == want | {("s1", "levelDat", None, None, "level.dat", "0a", False)}
+
+
+def test_rewritten_regions_keep_their_other_slots(spark, tmp_path):
+    schema = "dim string, channel string, rx int, rz int, slot int, payload binary"
+    old = [("minecraft:overworld", "region", 0, 0, s, b"\3old%d" % s) for s in range(5)] + [("minecraft:overworld", "region", 1, 0, 0, b"\3far"), ("minecraft:overworld", "entities", 0, 0, 2, b"\3entity")]
+    new = [("minecraft:overworld", "region", 0, 0, 2, b"\3new"), ("minecraft:overworld", "region", 0, 0, 9, b"\3added")]
+    files = world.rewrite_regions(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()
+    assert [f.path for f in files] == ["region/r.0.0.mca"]
+    assert {s: p for s, p, _ in codecs.read_region(bytes(files[0].content))} == {**{s: b"\3old%d" % s for s in (0, 1, 3, 4)}, 2: b"\3new", 9: b"\3added"}
+
+
 def test_payloads_are_decoded_and_checked_leniently(spark):
     tags = gzip.decompress(manifests.write_tags({"a": {"b": True, "c": 5}, "version": 3, "d": b"\xff", "e": [{"f": "é"}]}))
     body = tags[:-1] + b"\x0b" + struct.pack(">H", 1) + b"g" + struct.pack(">iii", 2, -1, 7) + b"\x06" + struct.pack(">H", 1) + b"h" + struct.pack(">d", 1.5) + b"\0"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REGION_SIDE, REGION_SHIFT = 32, 5
 LOW = 4294967295
 #: Limits of areas: cells of an offline restore; radius of an online one, and cells that need confirming.
-MAX_CELLS, MAX_RADIUS, CONFIRM_CELLS = 10_000, 8, 9
+MAX_CELLS, MAX_RADIUS, CONFIRM_CELLS, CONFIRM_MS = 10_000, 8, 9, 30_000
 
 
 def pack(x: Column, z: Column) -> Column:
@@ -90,6 +90,11 @@ def area_check(x: Column, z: Column, radius: Column) -> Column:
     )
 
 
+def still_confirmed(asked_ms: Column, now_ms: Column) -> Column:
+    """Whether an area that needs confirming was asked for no longer ago than a confirmation holds."""
+    return now_ms - asked_ms <= CONFIRM_MS
+
+
 def parse_pair(text: Column) -> Column:
     """'x,z' as a struct of integers; null where it is none."""
     parts = F.split(text, ",")

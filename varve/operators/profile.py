@@ -55,6 +55,11 @@ def attributed(timed: DataFrame, sources: DataFrame, known_prefixes: list[str])
     return timed.join(sources, "cls", "left").withColumn("mod", F.coalesce("mod", guess, F.lit("(library)")))
 
 
+def as_json(analysis: DataFrame) -> DataFrame:
+    """Each row of an analysis as a line of JSON, its columns by name; ``DataFrame.write.text`` dumps it."""
+    return analysis.select(F.to_json(F.struct(*sorted(analysis.columns))).alias("line"))
+
+
 def by_keyword(nodes: DataFrame, keywords: list[str]) -> DataFrame:
     """Inclusive time and nodes for each keyword in a node's name; a node may count for several."""
     name = F.lower(F.concat_ws(".", "cls", "method"))

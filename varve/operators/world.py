@@ -43,6 +43,14 @@ def region_files(slots: DataFrame) -> DataFrame:
     return rows.groupBy("folder", "rx", "rz").applyInPandas(build, "path string, content binary")
 
 
+def rewrite_regions(existing: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, content) of the regions that hold ``targets`` (dim, channel, rx, rz, slot, payload), with all other slots of theirs as they were."""
+    region, key = ["dim", "channel", "rx", "rz"], ["dim", "channel", "rx", "rz", "slot"]
+    touched = existing.select(*key, "payload").join(targets.select(*region).distinct(), region, "left_semi")
+    new = targets.select(*key, F.col("payload").alias("new"))
+    return region_files(touched.join(new, key, "full_outer").select(*key, F.coalesce("new", "payload").alias("payload")))
+
+
 def snapshot_files(entries: DataFrame, objects: DataFrame) -> DataFrame:
     """(path, content) of all files of a snapshot's entries (channel, dim, pos, path, hash) out of objects (hash, payload)."""
     whole = entries.join(objects.select("hash", "payload"), "hash")

@@ -159,6 +159,18 @@ def profile_node_totals(spark, sf):
     return t.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", profile.node_totals(times).alias("total"))
 
 
+@query("""SELECT '{"keyword":"' || keyword || '","nodes":' || nodes || ',"total":' || total || '}' AS line FROM (
+  SELECT keyword, CAST(sum(total) AS BIGINT) AS total, count(*) AS nodes FROM nodes, (SELECT unnest(['shop', 'tick']) AS keyword) WHERE contains(lower(cls || '.' || method), keyword) GROUP BY keyword)""")
+def profile_json(spark, sf):
+    return profile.as_json(profile.by_keyword(t.call_tree(spark, sf)[0], ["shop", "tick"]))
+
+
+@query("SELECT event_id, value * 1000 <= 30000 AS holds FROM events WHERE value IS NOT NULL")
+def area_confirmations(spark, sf):
+    e = t.read(spark, sf, "events").where("value IS NOT NULL")
+    return e.select("event_id", positions.still_confirmed(F.lit(0.0), F.col("value") * 1000).alias("holds"))
+
+
 # --- Restores ---------------------------------------------------------------------------------------------------
 
 
