@@ -133,6 +133,31 @@ def test_gate_and_spacing_fold_in_order(spark):
     assert [r.go_ns for r in snapshotter.spacing(calls).orderBy("seq").collect()] == [0, 10**8, 10**9]
 
 
+def test_folds_in_blocks_give_what_one_block_gives(spark):
+    import random
+
+    rng = random.Random(4)
+    seqs = {c: rng.sample(range(10_000), 400) for c in ("a", "b", None)}
+    levels = spark.createDataFrame([(c, k, rng.randint(0, 14), 10) for c in seqs for k in seqs[c]], "channel string, seq long, level long, high long").repartition(3)
+    calls = spark.createDataFrame([(c, k, 10**6 * (k // 3), rng.choice([1, 50, 10**4])) for c in seqs for k in seqs[c]], "channel string, seq long, now_ns long, rate long").repartition(3)
+    for fold, rows in ((snapshotter.gate, levels), (snapshotter.spacing, calls)):
+        one, many = (sorted(map(repr, map(tuple, fold(rows, block_rows=n).collect()))) for n in (10**6, 50))
+        assert one == many and len(one) == 1200
+        assert fold(rows.limit(0)).count() == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # blocks that go on from batch to batch
+    try:
+        assert sorted(map(repr, map(tuple, snapshotter.gate(levels, block_rows=50).collect()))) == sorted(map(repr, map(tuple, snapshotter.gate(levels).collect())))
+        assert sorted(map(repr, map(tuple, snapshotter.spacing(calls, block_rows=50).collect()))) == many
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shut, want = False, []
+    rows = sorted((r.seq, r.level) for r in levels.where("channel = 'a'").collect())
+    for _, level in rows:
+        shut = level > 5 if shut else level >= 10
+        want.append(shut)
+    assert [r.shut for r in snapshotter.gate(levels, block_rows=50).where("channel = 'a'").orderBy("seq").collect()] == want
+
+
 def test_region_file_round_trip_and_damage(spark, tmp_path):
     big = b"\2" + bytes(300 * 4096)
     slots = {0: b"\2" + zlib.compress(b"a" * 5000), 33: b"\3" + bytes(4096), 1023: b"\1bad", 7: big}

@@ -149,38 +149,129 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return cells.groupBy("dim", "pos").agg(F.max_by("hash", "batch").alias("hash"))
 
 
-def gate(levels: DataFrame, group: str = "channel") -> DataFrame:
-    """The gate at each level (group, seq, level, high): shut at ``high`` and above, open again at half of it and below."""
+#: Rows that one task folds at most, where the numbers of a channel lie evenly.
+BLOCK_ROWS = 1_000_000
+
+
+class _Gate:
+    """Shut (1) or open (0); what a run of levels does is the state it ends in from either."""
+
+    start, identity, values = 0, (0, 1), ["level", "high"]
+
+    @staticmethod
+    def run(state: int, level: list[int], high: list[int]) -> tuple[int, list]:
+        out = []
+        for x, limit in zip(level, high, strict=True):
+            state = int(x > limit // 2 if state else x >= limit)
+            out.append(bool(state))
+        return state, out
+
+    @classmethod
+    def summarize(cls, summary: tuple[int, int], *values: list) -> tuple[int, int]:
+        return cls.run(summary[0], *values)[0], cls.run(summary[1], *values)[0]
+
+    @staticmethod
+    def chain(state: int, summary: tuple[int, int]) -> int:
+        return summary[state]
+
+
+class _Spacing:
+    """When the next call may go; what a run of calls does to it is to add a sum and then raise it to a bound."""
+
+    start, identity, values = -(1 << 61), (-(1 << 61), 0), ["now_ns", "rate"]
+
+    @staticmethod
+    def run(state: int, now_ns: list[int], rate: list[int]) -> tuple[int, list]:
+        out = []
+        for now, r in zip(now_ns, rate, strict=True):
+            go = max(now, state)
+            state = go + 1_000_000_000 // r
+            out.append(go)
+        return state, out
+
+    @classmethod
+    def summarize(cls, summary: tuple[int, int], now_ns: list[int], rate: list[int]) -> tuple[int, int]:
+        return cls.run(summary[0], now_ns, rate)[0], summary[1] + sum(1_000_000_000 // r for r in rate)
+
+    @staticmethod
+    def chain(state: int, summary: tuple[int, int]) -> int:
+        return max(summary[0], state + summary[1])
+
+
+def _runs(batch: pd.DataFrame, group: str) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of each group and block, in order; a null group is one like others."""
+    for (g, block), some in batch.groupby([group, "block"], sort=False, dropna=False):
+        yield (None if pd.isna(g) else g, block), some
+
+
+def _fold(rows: DataFrame, group: str, kind, result: str, result_type: str, keep: list[str], block_rows: int) -> DataFrame:
+    """A fold over the rows of each group in the order of ``seq``.
+
+    A group's numbers are cut into blocks of even width.  Each block is summed up by itself, the summaries, a few numbers a block, are
+    chained in order, and each block is folded from the state that the ones before it leave; so no group has to pass
+    through one task.  Up to ``block_rows`` rows there is but one block and nothing to chain.
+    """
+    first, last, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = max(1, (last - first + 1) * block_rows // n) if n > block_rows and last is not None else 1 << 62
+    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("seq") - F.lit(first or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
+    order = [group, "block", "seq"]
+    if n > block_rows:
+
+        def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, summary = None, kind.identity
+            for b in batches:
+                done = []
+                for key, some in _runs(b, group):
+                    if key != at:
+                        if at is not None:
+                            done.append((*at, *summary))
+                        at, summary = key, kind.identity
+                    summary = kind.summarize(summary, *(some[c].tolist() for c in kind.values))
+                yield pd.DataFrame(done, columns=[group, "block", "p", "q"])
+            if at is not None:
+                yield pd.DataFrame([(*at, *summary)], columns=[group, "block", "p", "q"])
+
+        def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, state = None, kind.start
+            for b in batches:
+                starts = []
+                for g, p, q in zip(b[group], b["p"].tolist(), b["q"].tolist(), strict=True):
+                    if g != at:
+                        at, state = g, kind.start
+                    starts.append(state)
+                    state = kind.chain(state, (p, q))
+                yield pd.DataFrame({group: b[group], "block": b["block"], "start": pd.Series(starts, dtype="int64")})
+
+        sums = rows.repartition(group, "block").sortWithinPartitions(*order).mapInPandas(sum_up, f"{group} string, block long, p long, q long")
+        starts = sums.repartition(group).sortWithinPartitions(group, "block").mapInPandas(chain, f"{group} string, block long, start long")
+        other = starts.select(F.col(group).alias("start_group"), F.col("block").alias("start_block"), "start")
+        rows = rows.join(other, rows[group].eqNullSafe(other["start_group"]) & (rows["block"] == other["start_block"])).drop("start_group", "start_block")
+    else:
+        rows = rows.withColumn("start", F.lit(kind.start).cast("long"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, shut = None, False
+        at, state = None, kind.start
         for b in batches:
-            out = []
-            for g, level, high in zip(b[group], b["level"].tolist(), b["high"].tolist(), strict=True):
-                if g != at:
-                    at, shut = g, False
-                shut = level > high // 2 if shut else level >= high
-                out.append(shut)
-            yield pd.DataFrame({group: b[group], "seq": b["seq"], "level": b["level"], "shut": out})
+            out: list = []
+            for key, some in _runs(b, group):
+                if key != at:
+                    at, state = key, int(some["start"].iloc[0])
+                state, more = kind.run(state, *(some[c].tolist() for c in kind.values))
+                out += more
+            yield b[keep].assign(**{result: out})
 
-    rows = levels.select(F.col(group).cast("string").alias(group), F.col("seq").cast("long"), F.col("level").cast("long"), F.col("high").cast("long"))
-    return rows.repartition(group).sortWithinPartitions(group, "seq").mapInPandas(fold, f"{group} string, seq long, level long, shut boolean")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), f"{result} {result_type}"])
+    return rows.repartition(group, "block").sortWithinPartitions(*order).mapInPandas(fold, schema)
 
 
-def spacing(calls: DataFrame, group: str = "channel") -> DataFrame:
-    """When each call (group, seq, now_ns, rate) may go: 1e9 / rate after the one before, without credit for idle time."""
+def gate(levels: DataFrame, group: str = "channel", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The gate at each level (group, seq, level, high): shut at ``high`` and above, open again at half of it and below."""
+    rows = levels.select(F.col(group).cast("string").alias(group), *[F.col(c).cast("long").alias(c) for c in ("seq", "level", "high")])
+    return _fold(rows, group, _Gate, "shut", "boolean", [group, "seq", "level"], block_rows)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, free = None, 0
-        for b in batches:
-            out = []
-            for g, now, rate in zip(b[group], b["now_ns"].tolist(), b["rate"].tolist(), strict=True):
-                if g != at:
-                    at, free = g, now
-                go = max(now, free)
-                free = go + 1_000_000_000 // rate
-                out.append(go)
-            yield pd.DataFrame({group: b[group], "seq": b["seq"], "go_ns": pd.Series(out, dtype="int64")})
 
+def spacing(calls: DataFrame, group: str = "channel", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """When each call (group, seq, now_ns, rate) may go: 1e9 / rate after the one before, without credit for idle time."""
     rows = calls.select(F.col(group).cast("string").alias(group), *[F.col(c).cast("long").alias(c) for c in ("seq", "now_ns", "rate")])
-    return rows.repartition(group).sortWithinPartitions(group, "seq").mapInPandas(fold, f"{group} string, seq long, go_ns long")
+    return _fold(rows, group, _Spacing, "go_ns", "long", [group, "seq"], block_rows)
