@@ -98,7 +98,7 @@ def brute_weight(a, b):
     return 1 + table[-1][-1]
 
 
-def test_matching_is_as_large_as_brute_force():
+def test_matching_is_as_large_as_brute_force(monkeypatch):
     rng = random.Random(3)
 
     def grow(depth):
@@ -112,6 +112,9 @@ def test_matching_is_as_large_as_brute_force():
         a, b = grow(0), grow(0)
         pairs = html_text.match(a, b)
         assert len(pairs) == brute_weight(a, b)
+        monkeypatch.setattr(html_text, "SMALL", 0)
+        assert html_text.match(a, b) == pairs
+        monkeypatch.undo()
         of = {id(x): y for x, y in pairs}
         assert len({id(y) for _, y in pairs}) == len(of) == len(pairs)
         for x, y in pairs:  # one to one, of equal tags, in order, and below pairs only

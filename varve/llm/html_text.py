@@ -68,6 +68,8 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 #: Share of links in the text of a menu, and of the varying text in the main slot.
 MENU_SHARE, MAIN_SHARE = 0.8, 0.85
+#: Cells of a matching table that is made at once instead of by rows; both give the same matches.
+SMALL = 400
 #: Paths that two layouts share, of all that either has, from which on they are one group.
 SAME_LAYOUT = 0.5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -262,6 +264,8 @@ class _Matching:
         """The same by rows of best weights, of which every ``step``-th is held and those between are made again on the way back."""
         if not xs or not ys:
             return []
+        if len(xs) * len(ys) <= SMALL:
+            return self._best_small(xs, ys)
         different = sorted(set(ys))
         column = np.searchsorted(different, ys)
         rows: dict[int, np.ndarray] = {}
@@ -299,6 +303,27 @@ class _Matching:
         return matched
 
 
+    def _best_small(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """The same by the whole table, which for short lists is the quicker way to the same matches."""
+        table = [[0] * (len(ys) + 1)]
+        for x in xs:
+            above, row = table[-1], [0]
+            for j, y in enumerate(ys):
+                row.append(max(above[j] + self._simple(x, y), above[j + 1], row[j]))
+            table.append(row)
+        matched, i, j = [], len(xs), len(ys)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                matched.append((i, j))
+        matched.reverse()
+        return matched
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of matched nodes of two trees, by simple tree matching."""
     if a.tag != b.tag:
