@@ -164,7 +164,7 @@ def test_the_main_slot_leaves_out_only_little():
     seen = [(3, 0, 10, 90, 90), (5, 0, 10, 400, 0), (6, 0, 10, 400, 0), (8, 0, 9, 100, 0)]
     assert html_text.induce(tree, 10, seen, 0.8) == ([], [1, 2, 3], 4)
     assert html_text.induce(tree, 10, [*seen[:3], (8, 0, 9, 300, 0)], 0.8)[2] == 0  # more than a little: two parts of the content
-    assert html_text.induce(tree, 10, [(3, 9, 10, 9, 9)], 0.8) == ([3], [1, 2, 3], 0)
+    assert html_text.induce(tree, 10, [(3, 9, 10, 9, 9)], 0.8) == ([3], [], 0)
 
 
 def test_a_tag_that_moves_does_not_unalign_long_lists():

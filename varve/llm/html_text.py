@@ -610,6 +610,8 @@ def induce(tree: str, pages: int, seen: list[tuple[int, int, int, int, int]], co
             size[up], linked[up], often[up] = size[up] + size[node.number], linked[up] + linked[node.number], max(often[up], often[node.number])
     menus = [n.number for n in nodes if size[n.number] and linked[n.number] >= MENU_SHARE * size[n.number] and often[n.number] >= constant_share * pages]
     plain = [s - k for s, k in zip(size, linked, strict=True)]
+    if not plain[0]:
+        menus = []  # pages of nothing but links are lists, and these their content
     main = nodes[0]
     while best := max(main.children, key=lambda c: plain[c.number], default=None):
         if not plain[best.number] or plain[best.number] < MAIN_SHARE * plain[main.number] or not best.children:
