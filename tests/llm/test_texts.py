@@ -241,6 +241,28 @@ def test_removed_bytes_match_brute_force(spark, documents, chunk, length, words,
     assert [tuple(r)[1:] for r in got] == brute_removed(texts, length, words)
 
 
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3])
+def test_op6_counts_passages_of_over_50_words(spark, documents, chunk, monkeypatch, tmp_path):
+    from varve.llm import queries
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(15)
+    words = prose(rng, 55)
+    assert 160 < len(words) < 400
+    shared, other = prose(rng, 150), prose(rng, 40)
+    texts = [None, "", prose(rng, 200), "ab" * 600, "日" * 300, shared, prose(rng, 30) + other, other + prose(rng, 60)]
+    texts += [prose(rng, 70) + words + prose(rng, 70) for _ in range(6)]
+    texts += [prose(rng, 20) + shared[rng.randint(0, 60) : 560] + prose(rng, 20) + words + prose(rng, 5) + words for _ in range(6)]
+    ids = [None if k < 3 else k for k in range(len(texts) - 1)]
+    texts, ids = [*texts[:-1], texts[8], texts[-1]], [*ids, 8, len(texts)]
+    documents(texts, ids).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op6_suffix_dedup(spark, str(tmp_path)).collect()
+    whole, shorter = brute_removed(texts), brute_removed(texts, 160, 51)
+    want = [(i, *a, b[2], b[1]) for i, a, b in zip(ids, whole, shorter, strict=True)]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+    assert [r.n_passages for r in rows if r.doc_id in range(9, 14)] == [1] * 5 and [r.n_removed for r in rows if r.doc_id in range(9, 14)] == [0] * 5
+
+
 def test_texts_longer_than_a_block(spark, documents):
     rng = random.Random(12)
     long = prose(rng, 60_000, 90_000)

@@ -4,7 +4,9 @@ Texts are UTF-8 bytes.  A byte is covered if it is part of a string of ``length`
 that starts at another place too, in the same text or another; matches never cross
 texts, and strings are judged on the input.  A *passage* is a maximal run of covered bytes.
 ``measure`` and ``remove`` take all of them out, or, with ``least_words``, those of so
-many words or ``LENGTH`` bytes (writing without spaces has long words).
+many words or ``LENGTH`` bytes (writing without spaces has long words).  ``measure`` can count the
+latter beside the former (``passages``): shorter strings are then sought first, and the longer ones
+only inside the runs of those, for every part of a repeated string repeats as well.
 
 *Dealing.*  In every string of ``length`` bytes one place is its anchor: that where the least
 hash of a piece of ``Sizes.gram`` bytes begins (the first, if several).  Equal strings have equal
@@ -46,11 +48,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.llm._shared import stash
+from varve.llm._shared import scratch, stash
 
 LENGTH = 400
 #: Different contexts of a piece that are sorted together at most.
@@ -171,17 +173,23 @@ def _blocks(texts: list[bytes], of: Sizes) -> Iterator[tuple[list[int], list[int
         yield which, starts, parts
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch], of: Sizes) -> Iterator[pa.RecordBatch]:
+def _find_anchors(batches: Iterator[pa.RecordBatch], of: Sizes, inside: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text_hash, data), and with ``inside`` the spans of strings of so many bytes to stay in, to rows of _ANCHOR."""
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
-            ids, text_hash = b.column(0), b.column(1)
-            for which, starts, parts in _blocks(b.column(2).to_pylist(), of):
+            ids, text_hash, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+            owner, base = np.arange(len(texts)), np.zeros(len(texts), "i8")
+            if inside:
+                runs = [(k, a, z) for k, spans in enumerate(b.column(3).to_pylist()) for a, z in merge(spans, inside)]
+                texts = [texts[k][a:z] for k, a, z in runs]
+                owner, base = np.array([k for k, _, _ in runs], "i8"), np.array([a for _, a, _ in runs], "i8")
+            for which, starts, parts in _blocks(texts, of):
                 text, place, first, last, piece, context = anchors(b"".join(parts), np.array([len(p) for p in parts]), of.length, of.gram)
                 if not len(text):
                     continue
-                row = pa.array(np.array(which)[text])
-                start = np.array(starts, "i8")[text]
+                row = pa.array(owner[which][text])
+                start = (base[which] + np.array(starts, "i8"))[text]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(row), text_hash.take(row), *(pa.array(x) for x in (place + start, first + start, last + start, piece, context))], names=_NAMES
                 )
@@ -343,9 +351,16 @@ def _settle_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units["text_hash"][u]), pa.array(a), pa.array(z)], names=["doc_id", "text_hash", "first", "last"])
 
 
-def repeated_strings(docs: DataFrame, of: Sizes = Sizes()) -> DataFrame:
-    """Runs (doc_id, text_hash, first, last) of places where repeated strings start; those of equal rows may come more than once."""
-    found, _ = stash(_texts(docs).mapInArrow(functools.partial(_find_anchors, of=of), _ANCHOR), "anchors")
+def repeated_strings(docs: DataFrame, of: Sizes = Sizes(), within: DataFrame | None = None, inside: int = 0) -> DataFrame:
+    """Runs (doc_id, text_hash, first, last) of places where repeated strings start; those of equal rows may come more than once.
+
+    ``within`` has the spans (see ``_spans``) of all repeated strings of ``inside`` bytes, no more than are sought; no others are looked at.
+    """
+    texts = _texts(docs)
+    if within is not None:
+        ends = [F.array_max(F.col("spans.last")) + inside, F.array_min(F.col("spans.first"))]
+        texts = _of_text(texts, texts["doc_id"], texts["text_hash"], within.where(ends[0] - ends[1] >= of.length), "inner").select("doc_id", "text_hash", "data", "spans")
+    found, _ = stash(texts.mapInArrow(functools.partial(_find_anchors, of=of, inside=inside), _ANCHOR), "anchors")
     # Aggregates are written before they are joined: Spark splits the hot keys of a join only if it deals out both sides for it.
     often, _ = stash(found.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1").select("piece"), "repeated-pieces")
     repeated, _ = stash(found.join(often, "piece"), "repeated-anchors")
@@ -372,16 +387,35 @@ def repeated_strings(docs: DataFrame, of: Sizes = Sizes()) -> DataFrame:
     return copies.unionByName(sorted_.where(F.col("packed").isNull()).select(span)).unionByName(packed.mapInArrow(_settle, "doc_id long, text_hash long, first long, last long"))
 
 
-def _with_spans(docs: DataFrame, of: Sizes) -> DataFrame:
-    """The rows of ``docs`` as struct ``row``, with array ``spans`` of their repeated strings (null: none)."""
-    runs = repeated_strings(docs, of)
-    # A set, so that the runs of n equal rows are held once and not n times by each.
-    by_text = runs.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    by_text, _ = stash(by_text, "spans")
+def _of_text(rows: DataFrame, doc_id: Column, text_hash: Column, spans: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the ``spans`` of their texts."""
+    return rows.join(spans, doc_id.eqNullSafe(spans["span_id"]) & (text_hash == spans["span_hash"]), how)
+
+
+def _spans(docs: DataFrame, of: Sizes, within: DataFrame | None = None, inside: int = 0) -> DataFrame:
+    """(span_id, span_hash, spans) of the texts with repeated strings, written."""
+    with scratch(docs.sparkSession) as keep:
+        runs = repeated_strings(docs, of, within, inside)
+        # A set, so that the runs of n equal rows are held once and not n times by each.
+        by_text = runs.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+        by_text, path = stash(by_text, "spans")
+        keep(path)
+    return by_text
+
+
+def _with_spans(docs: DataFrame, of: Sizes, shorter: Sizes | None = None) -> DataFrame:
+    """The rows of ``docs`` as struct ``row``, with array ``spans`` of their repeated strings (null: none), and ``passages``, those of ``shorter`` ones."""
+    if shorter is None:
+        spans = _spans(docs, of)
+    else:
+        passages = _spans(docs, shorter)
+        keys = [F.col(c).alias(f"long_{c}") for c in ("span_id", "span_hash")]
+        longer = _spans(docs, of, passages, shorter.length).select(*keys, "spans")
+        same = passages["span_id"].eqNullSafe(longer["long_span_id"]) & (passages["span_hash"] == longer["long_span_hash"])
+        spans = passages.withColumnRenamed("spans", "passages").join(longer, same, "left").select("span_id", "span_hash", "spans", "passages")
     # The rows travel inside a struct, so that none of their names can clash.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(docs["text"]).alias("own_hash"))
-    joined = rows.join(by_text, rows["own_id"].eqNullSafe(by_text["span_id"]) & (rows["own_hash"] == by_text["span_hash"]), "left")
-    return joined.select("row", "spans")
+    return _of_text(rows, rows["own_id"], rows["own_hash"], spans, "left").select("row", "spans", *([] if shorter is None else ["passages"]))
 
 
 def merge(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -409,25 +443,38 @@ def _cut(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def measure(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; ``text`` is what is left, without characters of which a part is gone."""
+def measure(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0, passages: tuple[Sizes, int] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row; ``text`` is what is left, without characters of which a part is gone.
+
+    With ``passages``, sizes of no longer strings and a number of words, ``n_passages`` and ``n_passage_bytes`` follow: the runs
+    that ``remove`` would take out of the input at these, which are not taken out here.
+    """
+    if passages and passages[0].length > of.length:
+        raise ValueError(f"passages are sought by strings of at most {of.length} bytes, not {passages[0].length}")
+    names, kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"], [pa.int64()] * 3 + [pa.string()] * 2
+    if passages:
+        names, kinds = [*names, "n_passages", "n_passage_bytes"], [*kinds, pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
                 rows = []
-                for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for text, spans, *shorter in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                     data = text or b""
                     runs = _passages(data, spans, of.length, least_words)
                     kept = _cut(data, runs) if runs else data
-                    rows.append((len(data), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
-
-    rows = _with_spans(docs.select("doc_id", "text"), of).select("row.doc_id", F.col("row.text").cast("binary").alias("data"), "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+                    row = len(data), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
+                    if passages:
+                        seen = _passages(data, shorter[0], passages[0].length, passages[1])
+                        row = *row, len(seen), sum(z - a for a, z in seen)
+                    rows.append(row)
+                columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+
+    rows = _with_spans(docs.select("doc_id", "text"), of, passages[0] if passages else None)
+    rows = rows.select("row.doc_id", F.col("row.text").cast("binary").alias("data"), *rows.columns[1:])
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {'long' if k == pa.int64() else 'string'}" for n, k in zip(names, kinds, strict=True))]))
 
 
 def remove(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0) -> DataFrame:
