@@ -339,6 +339,29 @@ def test_remembered_pieces_are_forgotten_without_effect(monkeypatch):
         assert ids.tolist() == [i for t in texts for i in reference.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
 
 
+def test_many_different_pieces_are_encoded_once(monkeypatch):
+    learned, learn = [], tokenizing.Encoder._learn
+    monkeypatch.setattr(tokenizing.Encoder, "_learn", lambda self, pieces, *more: learned.append(len(pieces)) or learn(self, pieces, *more))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**j % 26] for j in range(4)) for k in range(450_000)]
+    texts = [" ".join(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    encoder = tokenizing.Encoder(TOKENIZER)
+    first = [encoder.flat([t])[0].tolist() for t in texts]
+    assert sum(learned) == len(words)
+    assert [encoder.flat([t])[0].tolist() for t in texts] == first and sum(learned) == len(words)
+
+
+def test_pieces_of_equal_hashes_are_told_apart(monkeypatch):
+    reference = Tokenizer.from_file(TOKENIZER)
+    hashes = tokenizing._Pieces.hashes
+    monkeypatch.setattr(tokenizing._Pieces, "hashes", staticmethod(lambda data, offsets: hashes(data, offsets) % np.uint64(3)))
+    encoder = tokenizing.Encoder(TOKENIZER)
+    texts = ["one two three four five six", "six, five four.", "x" * 70 + " " + "y" * 70 + " one", "", "three " * 4, "ab ba aab"] * 2
+    for _ in range(3):
+        ids, _ = encoder.flat(texts)
+        assert ids.tolist() == [i for t in texts for i in reference.encode(t, add_special_tokens=False).ids]
+
+
 def test_token_files_of_nothing(spark, documents, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_files.write_tokens(documents([]), path, TOKENIZER)
