@@ -181,7 +181,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], of: Sizes, inside: int = 0)
             ids, text_hash, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             owner, base = np.arange(len(texts)), np.zeros(len(texts), "i8")
             if inside:
-                runs = [(k, a, z) for k, spans in enumerate(b.column(3).to_pylist()) for a, z in merge(spans, inside)]
+                runs = [(k, a, z) for k, some in enumerate(merge(b.column(3), inside)) for a, z in some]
                 texts = [texts[k][a:z] for k, a, z in runs]
                 owner, base = np.array([k for k, _, _ in runs], "i8"), np.array([a for _, a, _ in runs], "i8")
             for which, starts, parts in _blocks(texts, of):
@@ -418,21 +418,28 @@ def _with_spans(docs: DataFrame, of: Sizes, shorter: Sizes | None = None) -> Dat
     return _of_text(rows, rows["own_id"], rows["own_hash"], spans, "left").select("row", "spans", *([] if shorter is None else ["passages"]))
 
 
-def merge(spans: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Maximal runs [begin, end) of covered bytes."""
-    out: list[tuple[int, int]] = []
-    for s in sorted(spans or [], key=lambda s: s["first"]):
-        begin, end = s["first"], s["last"] + length
-        if out and begin <= out[-1][1]:
-            out[-1] = out[-1][0], max(end, out[-1][1])
-        else:
-            out.append((begin, end))
-    return out
-
-
-def _passages(data: bytes, spans: list[dict] | None, length: int, least_words: int) -> list[tuple[int, int]]:
+def merge(spans: pa.Array, length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Maximal runs [begin, end) of covered bytes, from the lists of spans of some texts."""
+    counts = spans.value_lengths().fill_null(0).to_numpy()
+    first, last = (x.to_numpy() for x in spans.flatten().flatten())
+    runs: list[list[tuple[int, int]]] = [[] for _ in counts]
+    if not len(first):
+        return runs
+    # All texts at once: each has its own stretch of the numbers.
+    stretch = int(last.max()) + length + 1
+    base = np.repeat(np.arange(len(counts)), counts) * stretch
+    order = np.argsort(base + first)
+    begin, end = (base + first)[order], np.maximum.accumulate((base + last + length)[order])
+    starts = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+    stops = end[np.append(starts[1:], len(begin)) - 1]
+    of, starts = divmod(begin[starts], stretch)
+    for k, a, z in zip(of.tolist(), starts.tolist(), (stops - of * stretch).tolist(), strict=True):
+        runs[k].append((a, z))
+    return runs
+
+
+def _passages(data: bytes, runs: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
     """The runs to take out of a text."""
-    runs = merge(spans, length)
     if not least_words:
         return runs
     return [(a, z) for a, z in runs if z - a >= LENGTH or len(data[a:z].split()) >= least_words]
@@ -460,13 +467,14 @@ def measure(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0, passages
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
                 rows = []
-                for text, spans, *shorter in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                lengths = [of.length, *([passages[0].length] if passages else [])]
+                for text, runs, *shorter in zip(b.column(1).to_pylist(), *map(merge, b.columns[2:], lengths), strict=True):
                     data = text or b""
-                    runs = _passages(data, spans, of.length, least_words)
+                    runs = _passages(data, runs, least_words)
                     kept = _cut(data, runs) if runs else data
                     row = len(data), sum(z - a for a, z in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
                     if passages:
-                        seen = _passages(data, shorter[0], passages[0].length, passages[1])
+                        seen = _passages(data, shorter[0], passages[1])
                         row = *row, len(seen), sum(z - a for a, z in seen)
                     rows.append(row)
                 columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
@@ -482,20 +490,20 @@ def remove(docs: DataFrame, of: Sizes = Sizes(), least_words: int = 0) -> DataFr
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def kept(text: str | None, spans: list[dict] | None) -> str | None:
-        if not spans:
+    def kept(text: str | None, runs: list[tuple[int, int]]) -> str | None:
+        if not runs:
             return text
         data = text.encode()
-        runs = _passages(data, spans, of.length, least_words)
+        runs = _passages(data, runs, least_words)
         return _cut(data, runs).decode("utf-8", "ignore") if runs else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                columns, spans = b.column(0).flatten(), b.column(1).to_pylist()
+                columns, runs = b.column(0).flatten(), merge(b.column(1), of.length)
                 old = columns[at].to_pylist()
-                new = [kept(t, s) for t, s in zip(old, spans, strict=True)]
+                new = [kept(t, r) for t, r in zip(old, runs, strict=True)]
                 columns[at] = pa.array(new, columns[at].type)
                 if count is not None:
                     sizes = [n if t is o else len(t) for t, o, n in zip(new, old, columns[count].to_pylist(), strict=True)]
